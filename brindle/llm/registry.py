@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from brindle.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from brindle.llm.sharding import op5_hilbert_sharding
+from brindle.llm.url_filter import OP2_SQL, op2_url_filter
 
 
 def queries() -> dict:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {
+        "op2_url_filter": op2_url_filter,
+        "op5_hilbert_sharding": op5_hilbert_sharding,
+        "op9_exact_dedup": op9_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op2_url_filter": OP2_SQL, "op9_exact_dedup": OP9_SQL}
