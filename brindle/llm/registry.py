@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from brindle.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from brindle.llm.mixing import op3_source_mixing
 from brindle.llm.sharding import op5_hilbert_sharding
 from brindle.llm.url_filter import OP2_SQL, op2_url_filter
 
@@ -10,6 +11,7 @@ from brindle.llm.url_filter import OP2_SQL, op2_url_filter
 def queries() -> dict:
     return {
         "op2_url_filter": op2_url_filter,
+        "op3_source_mixing": op3_source_mixing,
         "op5_hilbert_sharding": op5_hilbert_sharding,
         "op9_exact_dedup": op9_exact_dedup,
     }
