@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from brindle.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from brindle.llm.mixing import op3_source_mixing
+from brindle.llm.packing import op10_best_fit_packing
 from brindle.llm.sharding import op5_hilbert_sharding
 from brindle.llm.url_filter import OP2_SQL, op2_url_filter
 
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op3_source_mixing": op3_source_mixing,
         "op5_hilbert_sharding": op5_hilbert_sharding,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
