@@ -6,6 +6,7 @@ from brindle.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from brindle.llm.mixing import op3_source_mixing
 from brindle.llm.packing import op10_best_fit_packing
 from brindle.llm.sharding import op5_hilbert_sharding
+from brindle.llm.simhash import op4_simhash_near_dedup
 from brindle.llm.url_filter import OP2_SQL, op2_url_filter
 
 
@@ -13,6 +14,7 @@ def queries() -> dict:
     return {
         "op2_url_filter": op2_url_filter,
         "op3_source_mixing": op3_source_mixing,
+        "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_hilbert_sharding": op5_hilbert_sharding,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
