@@ -8,10 +8,12 @@ from brindle.llm.packing import op10_best_fit_packing
 from brindle.llm.sharding import op5_hilbert_sharding
 from brindle.llm.simhash import op4_simhash_near_dedup
 from brindle.llm.url_filter import OP2_SQL, op2_url_filter
+from brindle.llm.warc import OP1_SQL, op1_warc_index
 
 
 def queries() -> dict:
     return {
+        "op1_warc_index": op1_warc_index,
         "op2_url_filter": op2_url_filter,
         "op3_source_mixing": op3_source_mixing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
@@ -22,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_url_filter": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_warc_index": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_exact_dedup": OP9_SQL}
