@@ -5,6 +5,7 @@ from __future__ import annotations
 from brindle.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from brindle.llm.langid import op8_language_id
 from brindle.llm.mixing import op3_source_mixing
+from brindle.llm.nn_descent import op7_nn_descent
 from brindle.llm.packing import op10_best_fit_packing
 from brindle.llm.sharding import op5_hilbert_sharding
 from brindle.llm.simhash import op4_simhash_near_dedup
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op3_source_mixing": op3_source_mixing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_hilbert_sharding": op5_hilbert_sharding,
+        "op7_nn_descent": op7_nn_descent,
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
