@@ -91,12 +91,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, keys: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose (id, digest of the text) is in kept, once each; keys names kept's two columns."""
-    mine = docs.withColumn("__digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    kept = kept.select(F.col(keys[0]).alias("__id"), F.col(keys[1]).alias("__want")).distinct()
-    out = mine.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__want")), "left_semi")
-    return out.dropDuplicates([id_col, "__digest"]).drop("__digest")
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with their own text; columns stay as they are."""
+    ws = Workspace(docs.sparkSession, "copies")
+    rows = ws.table(exact_dedup(docs, id_col, text_col, **options).select("doc_id", "text_sha256", "kept"), "kept")
+    kept = rows.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__want"))
+    again = rows.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
+    mine = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    out = mine.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__want")), "left_semi")
+    return (out.dropDuplicates([id_col, "__sha"]) if again else out).drop("__sha")
 
 
 def op9_exact_dedup(spark, sf_dir):

@@ -29,6 +29,8 @@ SEED = 23
 #: Every FOLDS-th document, by checksum of its id, is held out of training.
 FOLDS = 5
 UNDETERMINED = "und"
+#: Least cosine with the nearest prototype that a filter takes for a language.
+LEAST_SCORE = 0.05
 #: A language's dimension sums are kept for at most this many languages; more are an error.
 MOST_LANGUAGES = 4096
 #: Characters that are counted at a time when training (one text may be longer).
@@ -169,11 +171,14 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     names = list(prototypes)
     units = np.array([p / max(np.linalg.norm(p), 1e-300) for p in prototypes.values()]).reshape(-1, dimensions)
 
+    columns = keep if text_col in keep else (*keep, text_col)
+    at = columns.index(text_col)
+
     def run(batches):
         v = vectors(dimensions, seed)
         for b in batches:
             lang, score = [], []
-            for text in b.column(b.num_columns - 1):
+            for text in b.column(at):
                 found = grams(text.as_py() or "", n)
                 bundle = v.bundle(*found).astype(np.float64) if found and names else None
                 norm = np.linalg.norm(bundle) if bundle is not None else 0.0
@@ -181,11 +186,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
                 best = int(np.argmax(near)) if near is not None else None
                 lang.append(UNDETERMINED if best is None else names[best])
                 score.append(0.0 if best is None else float(min(1.0, max(0.0, near[best]))))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    kept = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("t"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
-    return kept.mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def held_out(doc_id) -> object:
@@ -206,5 +210,14 @@ def identify_languages(docs: DataFrame, dimensions: int = DIMENSIONS, n: int = N
     return predict(marked, prototypes, dimensions, n, seed, "__text", ("doc_id", "held_out", *keep))
 
 
+def filter_languages(docs: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of docs whose language can be told: those that get a language, with a cosine of at least ``least``. Columns and values stay as they are."""
+    fold = F.coalesce(held_out(F.col(id_col)), F.lit(False))
+    trained = docs.where(F.col(id_col).isNotNull() & ~fold).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    plain = tuple(f"c{i}" for i in range(len(docs.columns)))
+    found = predict(docs.toDF(*plain), train(trained, **options), text_col=plain[docs.columns.index(text_col)], keep=plain, **options)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*(F.col(c).alias(n) for c, n in zip(plain, docs.columns)))
+
+
 def op8_language_id(spark, sf_dir):
     return identify_languages(table(spark, sf_dir, "documents"))

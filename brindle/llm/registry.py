@@ -9,6 +9,7 @@ from brindle.llm.nn_descent import op7_nn_descent
 from brindle.llm.packing import op10_best_fit_packing
 from brindle.llm.sharding import op5_hilbert_sharding
 from brindle.llm.simhash import op4_simhash_near_dedup
+from brindle.llm.suffix_dedup import op6_suffix_dedup
 from brindle.llm.url_filter import OP2_SQL, op2_url_filter
 from brindle.llm.warc import OP1_SQL, op1_warc_index
 
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_source_mixing": op3_source_mixing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_hilbert_sharding": op5_hilbert_sharding,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_nn_descent": op7_nn_descent,
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,

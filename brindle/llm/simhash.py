@@ -61,15 +61,15 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed bigint), for each row."""
+    """doc_id, fp (the fingerprint as a signed bigint) and digest (a hash of the text) for each row."""
     of = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             fps = [signed(fingerprint(t.as_py(), words, seed)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2)], names=["doc_id", "fp", "digest"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {of}, fp bigint")
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("d")).mapInArrow(run, f"doc_id {of}, fp bigint, digest bigint")
 
 
 def position_masks(bits: int) -> list[int]:
@@ -140,7 +140,7 @@ def near_links(fps: DataFrame, bits: int = MOST_BITS) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, bits: int = MOST_BITS, words: int = SHINGLE_WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id.
+    """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id, and root (a fingerprint of the component) and digest (a hash of the text).
 
     component_id is the smallest id reachable over links between fingerprints that differ in at most
     ``bits`` bits, the row's own included; equal fingerprints are linked. A null or blank
@@ -155,9 +155,21 @@ def simhash_components(docs: DataFrame, bits: int = MOST_BITS, words: int = SHIN
     roots = components(links, ws)
     rooted = ws.table(smallest.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = ws.table(rooted.join(lows, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = ws.table(rooted.join(lows, "root").select("fp", "component_id", "root"), "classes")
+    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "digest")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without near copies: of each component the row with the smallest id stays (a null id last; of rows with one id, by a hash of the text)."""
+    ws = Workspace(docs.sparkSession, "near-copies")
+    rows = ws.table(simhash_components(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "root", "digest"), "components")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("digest").alias("c"))).alias("best"))
+    best = best.select(F.col("best.b").alias("__id"), F.col("best.c").alias("__digest"))
+    again = rows.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
+    mine = docs.withColumn("__mine", F.xxhash64(F.col(text_col)))
+    out = mine.join(best, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mine") == F.col("__digest")), "left_semi")
+    return (out.dropDuplicates([id_col, "__mine"]) if again else out).drop("__mine")
 
 
 def op4_simhash_near_dedup(spark, sf_dir):
-    return simhash_components(table(spark, sf_dir, "documents"))
+    return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

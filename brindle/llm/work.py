@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts, as a Java/RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -44,7 +45,12 @@ class Workspace:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and return it read back, with its lineage cut."""
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # the shuffle files of this write are of no use after it
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before else self.spark.conf.unset(CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._brindle_path = path
         return out
