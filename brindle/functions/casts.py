@@ -49,7 +49,7 @@ def to_decimal(x: Column, source: str, precision: int, scale: int) -> Column:
     elif family(source) in RANGES:
         x = x.cast("decimal(38,0)")
     top = F.lit("9" * (precision - scale) + ("." + "9" * scale if scale else "")).cast(f"decimal({precision},{scale})")
-    cut = F.when(x >= 0, F.floor(x, F.lit(scale))).otherwise(F.ceil(x, F.lit(scale)))
+    cut = x if family(source) in RANGES else F.when(x >= 0, F.floor(x, F.lit(scale))).otherwise(F.ceil(x, F.lit(scale)))
     return F.when(x.isNull(), F.lit(None)).when(cut > top, top).when(cut < -top, -top).otherwise(F.when((cut <= top) & (cut >= -top), cut)).cast(f"decimal({precision},{scale})")
 
 

@@ -98,4 +98,4 @@ def decode(x: Column, how: str) -> Column:
     """Text to binary; base64 only; malformed text is an error."""
     if how.lower() != "base64":
         raise TypeRefused(f"unknown encoding {how}")
-    return F.unbase64(x)
+    return F.to_binary(x, F.lit("base64"))
