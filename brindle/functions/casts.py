@@ -50,7 +50,9 @@ def to_decimal(x: Column, source: str, precision: int, scale: int) -> Column:
         x = x.cast("decimal(38,0)")
     top = F.lit("9" * (precision - scale) + ("." + "9" * scale if scale else "")).cast(f"decimal({precision},{scale})")
     cut = x if family(source) in RANGES else F.when(x >= 0, F.floor(x, F.lit(scale))).otherwise(F.ceil(x, F.lit(scale)))
-    return F.when(x.isNull(), F.lit(None)).when(cut > top, top).when(cut < -top, -top).otherwise(F.when((cut <= top) & (cut >= -top), cut)).cast(f"decimal({precision},{scale})")
+    of = f"decimal({precision},{scale})"  # each branch by itself: the branches' common type could have fewer digits
+    over, under = cut > top, cut < -top
+    return F.when(over, top).when(under, (-top).cast(of)).otherwise(F.when(~over & ~under, cut).cast(of))
 
 
 def to_double(x: Column, source: str) -> Column:
