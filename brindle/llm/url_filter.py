@@ -123,11 +123,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
                             if best is None or rank < best[0]:
                                 best = (rank, host, start, paths[start])
                 keep.append(i)
-                rule_host.append(best and best[1])
-                rule_path.append(best and best[2])
+                rule_host.append(best[1] if best else None)
+                rule_path.append(best[2] if best else None)
                 verdicts.append(best[3] if best else default)
             kept = b.take(pa.array(keep, pa.int64()))
-            rule = [h and h + p for h, p in zip(rule_host, rule_path)]
+            rule = [None if h is None else h + p for h, p in zip(rule_host, rule_path)]
             yield pa.RecordBatch.from_arrays([kept["page_id"].cast(out_schema.field(0).type), kept["host"], kept["path"], pa.array(rule, pa.string()), pa.array(verdicts, pa.string()), pa.array(rule_host, pa.string()), pa.array(rule_path, pa.string())], schema=out_schema)
 
     return both.mapInArrow(sweep, "page_id {}, host string, path string, rule string, verdict string, rule_host string, rule_path string".format(urls.schema["page_id"].dataType.simpleString()))
