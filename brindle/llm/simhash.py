@@ -30,6 +30,14 @@ from brindle.llm.work import Workspace, partitions, table
 SHINGLE_WORDS = 3
 MOST_BITS = 2
 SEED = 42
+#: Near copies by similarity: shared shingles of five words, of all that either text has.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: Bytes of the wide fingerprint; lists of the index over it, and positions that a list agrees in.
+WIDE_BYTES, LISTS, POSITIONS = 32, 96, 3
+#: Bits in which the first 8 bytes, and all of it, may differ between candidates (at a similarity of 0.8, 9.5 and 38 are usual).
+NARROW_BITS, WIDE_BITS = 18, 56
+#: Members of a list this near to another are compared through that one.
+CLOSE_BITS = 6
 #: Lists up to this size are verified pair by pair.
 PAIRWISE = 64
 #: Shingles whose bits are counted at a time.
@@ -60,16 +68,50 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed bigint) and digest (a hash of the text) for each row."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int, wide: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed bigint) and digest (a hash of the text) for each row, with wide the wide fingerprint too."""
     of = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             fps = [signed(fingerprint(t.as_py(), words, seed)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2)], names=["doc_id", "fp", "digest"])
+            more = [pa.array([wide_fingerprint(shingle_hashes(t.as_py())) for t in b.column(1)], pa.binary())] if wide else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2), *more], names=["doc_id", "fp", "digest"] + ["wide"] * wide)
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("d")).mapInArrow(run, f"doc_id {of}, fp bigint, digest bigint")
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("d")).mapInArrow(run, f"doc_id {of}, fp bigint, digest bigint" + ", wide binary" * wide)
+
+
+def shingle_hashes(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """Sorted 64-bit hashes of the different shingles of a text, cut as for fingerprint; none without words."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(tokens)
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    stops = np.cumsum(lengths + 1) - 1
+    starts = stops - lengths
+    k = min(words, len(tokens))
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), stops[k - 1 :].tolist())], np.uint64))
+
+
+def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
+    x = x + np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes | None:
+    """A SimHash of WIDE_BYTES bytes over a set of shingles."""
+    if not len(hashes):
+        return None
+    ones = np.zeros(8 * WIDE_BYTES, np.int64)
+    for i in range(0, len(hashes), STEP // 4):
+        some = hashes[i : i + STEP // 4]
+        lanes = np.stack([_mixed(some, lane) for lane in range(WIDE_BYTES // 8)], 1)
+        ones += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
 def position_masks(bits: int) -> list[int]:
@@ -159,10 +201,119 @@ def simhash_components(docs: DataFrame, bits: int = MOST_BITS, words: int = SHIN
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "digest")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without near copies: of each component the row with the smallest id stays (a null id last; of rows with one id, by a hash of the text)."""
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rids whose wide fingerprints meet in a list of the index and differ in few enough bits."""
+    n = partitions(rows.sparkSession)
+    rng = np.random.default_rng(SEED)
+    choices = np.array([np.sort(rng.choice(WIDE_BYTES, POSITIONS, replace=False)) for _ in range(LISTS)])
+
+    def entries(batches):
+        for b in batches:
+            wide = np.frombuffer(b"".join(b["wide"].to_pylist()), np.uint8).reshape(-1, WIDE_BYTES)
+            narrow = np.ascontiguousarray(wide[:, :8]).view(np.int64).reshape(-1)
+            rid = b["rid"].to_numpy()
+            for k, at in enumerate(choices):
+                key = np.full(len(rid), k, np.int64)
+                for p in at:
+                    key = key << 8 | wide[:, p]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(narrow)], names=["key", "rid", "narrow"])
+
+    def meet(batches):
+        current, leaders, leader_ids = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for b in batches:
+            key, rid, narrow = b["key"].to_numpy(), b["rid"].to_numpy(), b["narrow"].to_numpy().view(np.uint64)
+            if not len(key):
+                continue
+            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+            starts, stops = np.append(0, cut), np.append(cut, len(key))
+            alone = stops - starts == 1
+            alone[0] &= key[0] != current
+            alone[-1] = False
+            found = []
+            for lo, hi in zip(starts[~alone].tolist(), stops[~alone].tolist()):
+                if key[lo] != current:
+                    current, leaders, leader_ids = key[lo], leaders[:0], leader_ids[:0]
+                for i in range(lo, hi):
+                    apart = np.bitwise_count(leaders ^ narrow[i])
+                    near = np.flatnonzero(apart <= CLOSE_BITS)
+                    if len(near):
+                        found.append((rid[i : i + 1], leader_ids[near[:1]]))
+                        continue
+                    near = np.flatnonzero(apart <= NARROW_BITS)
+                    if len(near):
+                        found.append((np.full(len(near), rid[i]), leader_ids[near]))
+                    leaders, leader_ids = np.append(leaders, narrow[i]), np.append(leader_ids, rid[i])
+            if found:
+                a, c = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+
+    lists = rows.where("wide is not null").select("rid", "wide").mapInArrow(entries, "key bigint, rid bigint, narrow bigint")
+    met = lists.repartition(n, "key").sortWithinPartitions("key", "rid").mapInArrow(meet, "a bigint, b bigint").distinct()
+    wide = rows.select("rid", "wide")
+    both = met.join(wide.toDF("a", "wa"), "a").join(wide.toDF("b", "wb"), "b")
+
+    def near(batches):
+        for b in batches:
+            wa, wb = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, WIDE_BYTES) for c in ("wa", "wb"))
+            keep = pa.array(np.bitwise_count(wa ^ wb).sum(1) <= WIDE_BITS)
+            yield pa.RecordBatch.from_arrays([b["a"].filter(keep), b["b"].filter(keep)], names=["a", "b"])
+
+    return both.select("a", "b", "wa", "wb").mapInArrow(near, "a bigint, b bigint")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, ws: Workspace, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between rows (rid, doc_id, digest, wide) of docs whose sets of shingles overlap by similarity or more.
+
+    Candidates come from the index over wide fingerprints, which finds pairs with a likelihood that grows with their similarity
+    (of LISTS lists); each is then verified on the whole texts' shingles. A row very close to another
+    of its list is compared with that one only.
+    """
+    pairs = ws.table(_candidates(rows), "candidates")
+    wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
+    named = rows.join(wanted, F.col("rid") == F.col("w"), "left_semi").select("rid", F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("d"))
+    texts = named.join(texts, F.col("i").eqNullSafe(F.col("__id")) & (F.col("d") == F.col("__digest"))).select("rid", "t")
+
+    def hashed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["rid"], pa.array([shingle_hashes(t.as_py()).tobytes() for t in b["t"]], pa.binary())], names=["rid", "s"])
+
+    sets = ws.table(texts.mapInArrow(hashed, "rid bigint, s binary").dropDuplicates(["rid"]), "shingles")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+
+    def verify(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b["sa"], b["sb"]):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["a"].filter(keep), b["b"].filter(keep)], names=["a", "b"])
+
+    return both.mapInArrow(verify, "a bigint, b bigint")
+
+
+def similar_components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest, root for each row of docs: rows with one root are linked, by fingerprints as in simhash_components or by similarity.
+
+    Rows of one id and one text share a root. Texts without words are linked to each other by their zero fingerprint.
+    """
+    ws = Workspace(docs.sparkSession, "similar")
+    rows = ws.table(fingerprints(docs, id_col, text_col, SHINGLE_WORDS, SEED, wide=True).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
+    firsts = ws.table(rows.groupBy("fp").agg(F.min("rid").alias("first")), "distinct")
+    same = rows.join(firsts, "fp").select(F.col("rid").alias("a"), F.col("first").alias("b"))
+    near = near_links(firsts.select("fp")).distinct()
+    near = near.join(firsts.toDF("a", "ra"), "a").join(firsts.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    links = ws.table(same.unionByName(near).unionByName(similar_links(docs, rows, ws, similarity, id_col, text_col)), "all-links")
+    roots = components(links, ws)
+    return rows.join(roots, F.col("rid") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "rid").alias("root"))
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near copies: of each component (see similar_components) the row with the smallest id stays (a null id last; of rows with one id, by a hash of the text)."""
     ws = Workspace(docs.sparkSession, "near-copies")
-    rows = ws.table(simhash_components(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "root", "digest"), "components")
+    rows = ws.table(similar_components(docs, similarity, id_col, text_col), "components")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("digest").alias("c"))).alias("best"))
     best = best.select(F.col("best.b").alias("__id"), F.col("best.c").alias("__digest"))
     again = rows.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()

@@ -130,10 +130,37 @@ def test_simhash_components(spark, documents, empty):
     odd = simhash_components(documents).collect()
     assert len(odd) == documents.count() and {r.component_id for r in odd if r.doc_id in (4, 5, 6)} == {4}
     kept = drop_near_copies(documents)
-    assert kept.columns == documents.columns and kept.count() == len({r.root for r in odd})
+    assert kept.columns == documents.columns and {r.doc_id for r in kept.collect()} == {1, 4, 7, 8, 9, 10}
     assert simhash_components(empty).count() == 0 and drop_near_copies(empty).count() == 0
 
 
+def test_similar_copies_go_and_others_stay(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    docs, base = {}, {}
+    for i in range(60):
+        words = rnd.choices(vocabulary, k=rnd.randint(60, 400))
+        base[i * 100] = words
+        docs[i * 100] = words
+        for k in range(1, 4):  # copies with a few other words
+            copy = list(words)
+            for at in rnd.sample(range(len(copy)), max(1, len(copy) // 80)):
+                copy[at] = rnd.choice(vocabulary)
+            docs[i * 100 + k] = copy
+
+    def jaccard(a, b):
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        return len(a & b) / len(a | b)
+
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id bigint, text string")
+    kept = {r.doc_id for r in drop_near_copies(d).collect()}
+    assert set(base) <= kept
+    due = {i for i, w in docs.items() if i not in base and jaccard(w, base[i // 100 * 100]) >= 0.85}
+    assert len(due) > 60 and len(due & kept) <= 0.05 * len(due)
+    far = {i for i, w in docs.items() if i not in base and all(jaccard(w, docs[j]) < 0.7 for j in docs if j // 100 == i // 100 and j != i)}
+    assert far <= kept
+
+
 def brute_spans(texts, length):
     seen, out = set(), []
     for raw in texts:
