@@ -10,7 +10,7 @@ import xxhash
 from brindle.llm.exact_dedup import drop_copies, exact_dedup
 from brindle.llm.graph import components
 from brindle.llm.simhash import drop_near_copies, fingerprint, list_links, near_links, position_masks, signed, simhash_components
-from brindle.llm.suffix_dedup import _classify, _RUNS_SQL, column_classes, dedup_substrings
+from brindle.llm.suffix_dedup import _classify, _RUNS_SQL, _unpacked, column_classes, dedup_substrings, packed
 from brindle.llm.work import Workspace
 
 
@@ -215,7 +215,8 @@ def test_substrings_of_odd_rows(documents, empty):
 def test_classify_in_small_batches(spark):
     """The same kinds whatever the batches, also where a collection goes over many."""
     rnd = random.Random(1)
-    rows = [(rnd.randrange(40) if rnd.random() < 0.7 else 1000 + i, rnd.randrange(3), rnd.randrange(1000), i, 1, 0, 0 if rnd.random() < 0.8 else 1) for i in range(400)]
+    # rows that are marked repeats beforehand have keys of their own
+    rows = [(rnd.randrange(40) if rnd.random() < 0.7 else 1000 + i, rnd.randrange(3), rnd.randrange(1000), i, 1, 0, 0) if rnd.random() < 0.8 else (10_000 + i, 0, 5, i, 1, 0, 1) for i in range(400)]
     want = {}
     by = defaultdict(list)
     for r in rows:
@@ -233,8 +234,8 @@ def test_classify_in_small_batches(spark):
     try:
         for n in (1, 3, 10_000):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
-            got = {r["first"]: r.kind for r in _classify(spark.createDataFrame(rows, _RUNS_SQL)).collect()}
-            # a row marked a repeat beforehand may stand before the first of its kind; only open rows count as documents
+            runs = spark.createDataFrame([(*r[:3], packed(*r[3:])) for r in rows], _RUNS_SQL)
+            got = {r["first"]: r.kind for r in _unpacked(_classify(runs)).collect()}
             assert got == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
