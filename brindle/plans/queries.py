@@ -351,6 +351,12 @@ same_sql("fn_abs", "SELECT c_custkey, abs(c_acctbal) AS a, abs(c_nationkey - 10)
 same_sql("fn_mod", "SELECT l_orderkey, l_linenumber, mod(l_partkey - 100, 7) AS a, mod(CAST(l_linenumber AS DECIMAL(5, 1)), CAST(1.5 AS DECIMAL(5, 1))) AS b FROM lineitem", ["lineitem"], "SELECT l_orderkey, l_linenumber, mod(l_partkey - 100, 7) AS a, CAST(mod(CAST(l_linenumber AS DECIMAL(5, 1)), CAST(1.5 AS DECIMAL(5, 1))) AS DECIMAL(5, 1)) AS b FROM lineitem")
 
 
+@query("SELECT p_partkey, translate(p_brand, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS up, CAST(NULL AS VARCHAR) AS none, substring(p_name, 2, 3) AS part_ FROM part WHERE length(p_name) >= 2")
+def fn_dialect_sql(spark, sf):
+    files.register_tables(spark, sf, ["part"])
+    return Q.run_in_dialect(spark, "SELECT p_partkey, upper(p_brand) AS up, substring(p_name, 0, 2) AS none, substring(p_name FROM 2 FOR 3) AS part_ FROM part WHERE char_length(p_name) >= 2")
+
+
 @query("SELECT p_partkey, CAST(ceil(p_retailprice) AS DOUBLE) AS c, CAST(floor(p_retailprice) AS DOUBLE) AS f, p_size AS ci, CAST(ceil(CAST(p_retailprice AS DECIMAL(12, 2))) AS DECIMAL(12, 2)) AS cd FROM part")
 def fn_ceil_floor(spark, sf):
     p = F.col("p_retailprice")

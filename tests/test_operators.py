@@ -188,6 +188,14 @@ def test_statements(spark):
             p.execute(**bad)
 
 
+def test_dialect(spark):
+    assert Q.in_dialect("SELECT upper ('upper(') , substring(substr(a, 1) FROM 2 FOR 3) FROM t") == "SELECT brindle_upper ('upper(') , brindle_substring(brindle_substring(a, 1) , 2 , 3) FROM t"
+    r = Q.run_in_dialect(spark, "SELECT upper('aé') AS u, LOWER('AÉ') AS l, substring('abc' FROM 0 FOR 2) AS a, substr('abc', 2) AS b, substring('abc', 2, 1) AS c, substring('abc', 1, -1) AS d, encode(X'6162', 'BASE64') AS e, decode('YWI=', 'base64') AS f")
+    assert tuple(r.first()) == ("Aé", "aÉ", None, "bc", "b", None, "YWI=", b"ab")
+    with pytest.raises(Exception):
+        Q.run_in_dialect(spark, "SELECT encode(X'6162', 'hex')").collect()
+
+
 def test_file_round_trips(spark, tmp_path):
     d = spark.sql("SELECT 1 AS i, 2L AS b, 1.5D AS d, 'tëxt' AS s, X'0a' AS x, CAST(1.25 AS DECIMAL(6, 2)) AS c, DATE'2020-01-01' AS dt, TIMESTAMP_NTZ'2020-01-01 01:02:03.000004' AS ts, true AS t UNION ALL SELECT null, null, null, null, null, null, null, null, null")
     want = rows(d)
