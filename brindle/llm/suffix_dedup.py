@@ -124,8 +124,24 @@ def _laid(held):
     return data, ends, ends - sizes, np.array([r for r, _, _ in held], np.int64), np.array([a for _, a, _ in held], np.int64)
 
 
-_RUNS = pa.schema([("gram", pa.int64()), ("same", pa.int64()), ("rid", pa.int64()), ("first", pa.int64()), ("windows", pa.int32()), ("lead", pa.int32()), ("kind", pa.int32())])
-_RUNS_SQL = "gram bigint, same bigint, rid bigint, first bigint, windows int, lead int, kind int"
+#: A run: its collection, a hash of its bytes, and where it is. place holds the first window, and in its low bits the number of
+#: windows, the bytes before the anchor, and the kind, so that the many rows are short.
+_RUNS = pa.schema([("gram", pa.int64()), ("same", pa.int64()), ("rid", pa.int64()), ("place", pa.int64())])
+_RUNS_SQL = "gram bigint, same bigint, rid bigint, place bigint"
+FIELD_BITS, KIND_BITS = 12, 2
+
+
+def packed(first, windows, lead, kind):
+    """place of a run; works on numbers, arrays and Columns alike."""
+    return ((first * (1 << FIELD_BITS) + windows) * (1 << FIELD_BITS) + lead) * (1 << KIND_BITS) + kind
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """Runs with first, windows, lead and kind."""
+    field = (1 << FIELD_BITS) - 1
+    return rows.select("gram", "rid", F.expr(f"shiftright(place, {2 * FIELD_BITS + KIND_BITS})").alias("first"), F.expr(f"shiftright(place, {FIELD_BITS + KIND_BITS}) & {field}").cast("int").alias("windows"), F.expr(f"shiftright(place, {KIND_BITS}) & {field}").cast("int").alias("lead"), F.expr(f"place & {(1 << KIND_BITS) - 1}").cast("int").alias("kind"))
+
+
 #: kind of a run: still open; a repeat throughout; a document of a collection of several; one of a large collection.
 OPEN, REPEAT, COMPARE, HASHED = 0, 1, 2, 3
 
@@ -135,7 +151,7 @@ def _find_runs(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for held in _pieces(batches, length):
-            data, ends, starts, rids, offsets = _laid(held)
+            data, ends, starts, rids, offsets = _laid(sorted(held, key=lambda x: x[:2]))
             gram, anchor, first, last = runs_of(data, ends, length)
             if not len(gram):
                 continue
@@ -146,7 +162,7 @@ def _find_runs(texts: DataFrame, length: int) -> DataFrame:
             kind = np.zeros(len(gram), np.int32)
             kind[order[again]] = REPEAT
             key = np.where(kind == REPEAT, same + np.arange(len(gram), dtype=np.uint64) * np.uint64(MIX), gram)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(same.view(np.int64)), pa.array(rids[which]), pa.array(first - starts[which] + offsets[which]), pa.array((last - first + 1).astype(np.int32)), pa.array((anchor - first).astype(np.int32)), pa.array(kind)], schema=_RUNS)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(same.view(np.int64)), pa.array(rids[which]), pa.array(packed(first - starts[which] + offsets[which], last - first + 1, anchor - first, kind))], schema=_RUNS)
 
     return texts.select("rid", "raw").mapInArrow(run, _RUNS_SQL)
 
@@ -154,7 +170,8 @@ def _find_runs(texts: DataFrame, length: int) -> DataFrame:
 def _classify(runs: DataFrame) -> DataFrame:
     """Runs that are not alone in their collection, with their kind; read in order of collection, document, place."""
     n = partitions(runs.sparkSession)
-    in_order = runs.repartition(n, "gram").sortWithinPartitions("gram", "same", "rid", "first")
+    in_order = runs.repartition(n, "gram").sortWithinPartitions("gram", "same", "rid", "place")
+    kinds = (1 << KIND_BITS) - 1
 
     def run(batches):
         gram = same = None
@@ -168,8 +185,9 @@ def _classify(runs: DataFrame) -> DataFrame:
             g, s = col["gram"], col["same"]
             new_g = np.concatenate([[g[0] != gram], g[1:] != g[:-1]])
             new_s = new_g | np.concatenate([[s[0] != same], s[1:] != s[:-1]])
-            opens = col["kind"] == OPEN
-            out_kind = np.where(opens, REPEAT, col["kind"])
+            kind = col["place"] & kinds
+            opens = kind == OPEN
+            out_kind = np.where(opens, REPEAT, kind)
             # documents before each row in its collection, counting on from the last batch
             firsts = np.flatnonzero(new_s & opens)
             starts = np.flatnonzero(new_g)
@@ -185,7 +203,6 @@ def _classify(runs: DataFrame) -> DataFrame:
             several = place[firsts] > 1
             several[:-1] |= place[firsts[1:]] == 2
             keep = ~opens | ~(new_s & opens)
-            out_kind = out_kind.astype(np.int32)
             out_kind[firsts] = np.where(place[firsts] > LARGE, HASHED, COMPARE)
             keep[firsts[several]] = True
             emit_waiting = waiting is not None and len(firsts) and not new_g[firsts[0]] and place[firsts[0]] == 2
@@ -194,11 +211,11 @@ def _classify(runs: DataFrame) -> DataFrame:
                 waiting = None
             if len(firsts) and place[firsts[-1]] == 1:
                 i = int(firsts[-1])
-                waiting = pa.RecordBatch.from_arrays([pa.array(np.array([col[c][i] if c != "kind" else COMPARE]), _RUNS.field(c).type) for c in _RUNS.names], schema=_RUNS)
+                waiting = pa.RecordBatch.from_arrays([pa.array(col[c][i : i + 1] - (c == "place") * (kind[i] - COMPARE)) for c in _RUNS.names], schema=_RUNS)
             gram, same, documents = g[-1], s[-1], int(place[-1])
             at = np.flatnonzero(keep)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(col[c][at] if c != "kind" else out_kind[at], _RUNS.field(c).type) for c in _RUNS.names], schema=_RUNS)
+                yield pa.RecordBatch.from_arrays([pa.array(col[c][at] - (kind[at] - out_kind[at] if c == "place" else 0)) for c in _RUNS.names], schema=_RUNS)
 
     return in_order.mapInArrow(run, _RUNS_SQL)
 
@@ -359,7 +376,7 @@ def _remove(texts: DataFrame, repeats: DataFrame, length: int, of: str) -> DataF
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, stop; bytes).
 
-    Removed is each byte that a string of ``length`` bytes covers which also starts earlier: in a
+    length is at most 4,096. Removed is each byte that a string of ``length`` bytes covers which also starts earlier: in a
     smaller document, or earlier in the same one. Documents are ordered by id, null ids last, then by a hash
     of the text; of rows with one id and one text the first is the original and the others are copies. A null text
     is empty. Strings are judged on the input and never cross documents. Other columns are
@@ -371,18 +388,16 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw")).withColumn("sha", F.sha2("raw", 256))
     marks = ws.table(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "sha", F.octet_length("raw").cast("bigint").alias("n_bytes")), "marks")
-    firsts = marks.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))).alias("low"), F.count("*").alias("n")).where(f"n > 1").select(F.col("sha").alias("s"), "low")
-    copies = ws.table(marks.join(firsts, F.col("sha") == F.col("s")).where("row <> low.c").select("doc_id", "sha", "n_bytes", F.col("low.b").alias("original")), "copies")
-    # a copy under another id is left out by id and digest; one under the same id by keeping each (id, digest) once
-    others = copies.where("not (doc_id <=> original)").select(F.col("doc_id").alias("d"), F.col("sha").alias("s")).distinct()
+    firsts = ws.table(marks.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))).alias("low")).select(F.col("sha").alias("s"), F.col("low.b").alias("d"), F.col("low.c").alias("first_row")), "firsts")
+    copies = ws.table(marks.join(firsts, F.col("sha") == F.col("s")).where("row <> first_row").select("doc_id", "sha", "n_bytes", F.col("d").alias("original")), "copies")
+    # originals are numbered in order; their texts get the numbers, and copies fall away, in one join
+    order = [F.col("d").asc_nulls_last(), F.col("s").asc()]
+    numbered = ws.table(firsts.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("d", "s", F.monotonically_increasing_id().alias("rid")), "numbers")
+    texts = rows.join(numbered, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s"))).select("rid", "doc_id", "raw")
     twice = copies.where("doc_id <=> original").limit(1).count()
-    texts = rows.join(others, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s")), "left_anti")
-    texts = texts.dropDuplicates(["doc_id", "sha"]) if twice else texts
-    order = [F.col("doc_id").asc_nulls_last(), F.col("sha").asc()]
-    texts = texts.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    texts = ws.table(texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "raw"), "texts")
+    texts = ws.table(texts.dropDuplicates(["rid"]) if twice else texts, "texts")
 
-    found = ws.table(_classify(_find_runs(texts, length)), "runs")
+    found = _unpacked(ws.table(_classify(_find_runs(texts, length)), "runs"))
     sizes = found.where(f"kind >= {COMPARE}").groupBy("gram").agg(F.max("kind").alias("most")).where(f"most = {HASHED}").select(F.col("gram").alias("g"))
     wanted = found.where(f"kind >= {COMPARE}").join(sizes, F.col("gram") == F.col("g"), "left").withColumn("kind", F.when(F.col("g").isNull(), F.lit(COMPARE)).otherwise(F.lit(HASHED))).drop("g")
     contexts = _contexts(texts, wanted, length)
