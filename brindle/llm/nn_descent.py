@@ -27,16 +27,16 @@ from brindle.llm.work import Workspace, partitions, table
 K = 5
 QUERY_EVERY = 50
 #: Neighbours of a node in the graph, and most reverse neighbours it is introduced with.
-DEGREE = 14
+DEGREE = 24
 #: Random partitions to start from, and nodes a cell is meant to hold.
 PARTITIONS = 6
 CELL = 128
 #: Candidates that a meeting proposes to each node.
-PROPOSE = 6
+PROPOSE = 8
 MOST_ROUNDS = 8
 #: The rounds stop when fewer than this share of all neighbours are new.
 STILL = 0.02
-BEAM = 56
+BEAM = 160
 MOST_HOPS = 12
 SEED = 31
 #: Parts into which a hub's list is split before it is cut to its bound.
