@@ -29,12 +29,17 @@ SEED = 23
 #: Every FOLDS-th document, by checksum of its id, is held out of training.
 FOLDS = 5
 UNDETERMINED = "und"
+#: What stands between texts that are counted together; the middle is their END.
+BETWEEN = " \n "
+END = (1 << 21) - 1
 #: Least cosine with the nearest prototype that a filter takes for a language.
 LEAST_SCORE = 0.05
 #: A language's dimension sums are kept for at most this many languages; more are an error.
 MOST_LANGUAGES = 4096
 #: Characters that are counted at a time when training (one text may be longer).
 STEP_CHARS = 1 << 20
+#: Texts, and n-grams of texts, that are judged at a time.
+STEP_TEXTS, STEP_GRAMS = 64, 50_000
 #: Most different n-grams whose vectors a worker remembers.
 MOST_GRAMS = 200_000
 
@@ -49,11 +54,16 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def grams(text: str, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray] | None:
-    """The different n-grams of a text as rows of letters (0 is the blank), and their counts; None without letters."""
+def grams(text: str, n: int = NGRAM, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The different n-grams of a text as rows of letters (0 is the blank), and their counts; None without letters.
+
+    ends: places in the text, with a blank on each side, that no n-gram goes over.
+    """
     codes = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     if not codes.any():
         return None
+    if ends is not None:
+        codes[ends] = END
     codes = np.concatenate([[0], codes, [0]])
     codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
     used, small = np.unique(codes, return_inverse=True)
@@ -71,6 +81,9 @@ def grams(text: str, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray] | None:
     for i in range(n - 1, -1, -1):
         rows[:, i] = used[found % len(used)]
         found = found // len(used)
+    if ends is not None:
+        whole = (rows != END).all(1)
+        rows, counts = rows[whole], counts[whole]
     return rows, counts
 
 
@@ -80,35 +93,62 @@ class Vectors:
     def __init__(self, dimensions: int, seed: int):
         self.dimensions, self.seed = dimensions, seed
         self.letter: dict[int, np.ndarray] = {}
-        self.place: dict[tuple, int] = {}
-        self.table = np.empty((1024, dimensions), np.float32)
+        self.known: dict[int, tuple] = {}
 
     def of_letter(self, code: int) -> np.ndarray:
         if code not in self.letter:
             self.letter[code] = np.random.default_rng([self.seed, code]).integers(0, 2, self.dimensions).astype(np.float32) * 2 - 1
         return self.letter[code]
 
+    def _made(self, rows: np.ndarray) -> np.ndarray:
+        out = np.ones((len(rows), self.dimensions), np.float32)
+        for i in range(rows.shape[1]):
+            used, which = np.unique(rows[:, i], return_inverse=True)
+            out *= np.stack([np.roll(self.of_letter(c), rows.shape[1] - 1 - i) for c in used.tolist()])[which]
+        return out
+
     def of_grams(self, rows: np.ndarray) -> np.ndarray:
         """Vectors of n-grams, one in a row: the product of the letters' vectors, each rotated by its distance from the last."""
-        key = list(map(tuple, rows.tolist()))
-        places = list(map(self.place.get, key))
-        if None in places:
-            if len(self.place) > MOST_GRAMS:
-                self.place.clear()
-            for k in key:
-                if k not in self.place:
-                    at = self.place[k] = len(self.place)
-                    if at == len(self.table):
-                        self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                    v = np.ones(self.dimensions, np.float32)
-                    for i, code in enumerate(k):
-                        v = v * np.roll(self.of_letter(code), len(k) - 1 - i)
-                    self.table[at] = v
-            places = list(map(self.place.__getitem__, key))
-        return self.table[places]
-
-    def bundle(self, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts.astype(np.float32) @ self.of_grams(rows)
+        n = rows.shape[1]
+        if n > 3:  # the key below holds three letters
+            return self._made(rows)
+        key = rows[:, 0]
+        for i in range(1, n):
+            key = key << 21 | rows[:, i]
+        keys, table = self.known.get(n, (np.zeros(0, np.int64), np.zeros((0, self.dimensions), np.float32)))
+        at = np.searchsorted(keys, key)
+        new = np.ones(len(key), bool) if not len(keys) else keys[np.minimum(at, len(keys) - 1)] != key
+        if new.any():
+            if len(keys) > MOST_GRAMS:
+                keys, table = keys[:0], table[:0]
+                new[:] = True
+            fresh, first = np.unique(key[new], return_index=True)
+            keys, table = np.concatenate([keys, fresh]), np.concatenate([table, self._made(rows[new][first])])
+            order = np.argsort(keys)
+            keys, table = keys[order], table[order]
+            self.known[n] = keys, table
+            at = np.searchsorted(keys, key)
+        return table[at]
+
+    def bundles(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The bundle of each text, given by its n-grams and counts, as one product of counts and vectors."""
+        rows = np.concatenate([r for r, _ in texts])
+        found, first, which = _distinct(rows)
+        counts = np.zeros((len(texts), found), np.float32)
+        counts[np.repeat(np.arange(len(texts)), [len(r) for r, _ in texts]), which] = np.concatenate([c for _, c in texts])
+        return counts @ self.of_grams(rows[first])
+
+
+def _distinct(rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many different rows there are, where each first stands, and which of them each row is."""
+    if rows.shape[1] > 3:
+        _, first, which = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        return len(first), first, which.reshape(-1)
+    key = rows[:, 0]
+    for i in range(1, rows.shape[1]):
+        key = key << 21 | rows[:, i]
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    return len(first), first, which
 
 
 _vectors: dict[tuple, Vectors] = {}
@@ -130,7 +170,8 @@ def train(rows: DataFrame, dimensions: int = DIMENSIONS, n: int = NGRAM, seed: i
 
         def count(lang):
             held = texts.pop(lang)
-            found = grams("\n".join(held[1]), n)
+            sizes = np.fromiter(map(len, held[1]), np.int64, len(held[1])) + len(BETWEEN)
+            found = grams(BETWEEN.join([*held[1], ""]), n, np.cumsum(sizes) - 2)
             if found:
                 rows, counts = found
                 v = vectors(dimensions, seed)
@@ -177,15 +218,28 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     def run(batches):
         v = vectors(dimensions, seed)
         for b in batches:
-            lang, score = [], []
-            for text in b.column(at):
-                found = grams(text.as_py() or "", n)
-                bundle = v.bundle(*found).astype(np.float64) if found and names else None
-                norm = np.linalg.norm(bundle) if bundle is not None else 0.0
-                near = units @ bundle / norm if norm else None
-                best = int(np.argmax(near)) if near is not None else None
-                lang.append(UNDETERMINED if best is None else names[best])
-                score.append(0.0 if best is None else float(min(1.0, max(0.0, near[best]))))
+            lang, score = [UNDETERMINED] * b.num_rows, [0.0] * b.num_rows
+            held, size = [], 0
+
+            def judge():
+                bundles = v.bundles([g for _, g in held]).astype(np.float64)
+                norms = np.linalg.norm(bundles, axis=1)
+                near = (bundles @ units.T) / np.maximum(norms, 1e-300)[:, None]
+                for (i, _), best, cosines, norm in zip(held, near.argmax(1).tolist(), near, norms):
+                    if norm:
+                        lang[i], score[i] = names[best], float(min(1.0, max(0.0, cosines[best])))
+
+            for i, text in enumerate(b.column(at)):
+                found = grams(text.as_py() or "", n) if names else None
+                if found is None or not len(found[0]):
+                    continue
+                held.append((i, found))
+                size += len(found[0])
+                if len(held) == STEP_TEXTS or size > STEP_GRAMS:
+                    judge()
+                    held, size = [], 0
+            if held:
+                judge()
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
