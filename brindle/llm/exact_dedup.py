@@ -86,6 +86,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ws = Workspace(docs.sparkSession, "exact-dedup")
     ids = identities(docs, ws, id_col, text_col, block_bytes)
     groups = ids.groupBy("n_blocks", "name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("rid").alias("c"))).alias("best"), F.count("*").alias("group_size"))
+    groups = ws.table(groups, "groups")  # so that both sides of the join have exchanges of their own, and a large group can be split
     return ids.join(groups, ["n_blocks", "name"]).select(
         "doc_id", F.col("best.b").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.c")).alias("kept"), "text_sha256"
     )
