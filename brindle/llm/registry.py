@@ -9,7 +9,7 @@ from brindle.llm.nn_descent import op7_nn_descent
 from brindle.llm.packing import op10_best_fit_packing
 from brindle.llm.sharding import op5_hilbert_sharding
 from brindle.llm.simhash import op4_simhash_near_dedup
-from brindle.llm.suffix_dedup import op6_suffix_dedup
+from brindle.llm.suffix_dedup import OP6_SQL, op6_suffix_dedup
 from brindle.llm.url_filter import OP2_SQL, op2_url_filter
 from brindle.llm.warc import OP1_SQL, op1_warc_index
 
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc_index": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_warc_index": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_suffix_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}

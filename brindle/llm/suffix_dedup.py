@@ -38,9 +38,9 @@ LENGTH = 100
 STEP_BYTES = 1_000_000
 POS_BITS = 20
 #: Documents of one construction; a larger collection is decided window by window.
-MOST_ROWS = 16_384
-#: In a task, occurrences of a collection's documents beyond this make it a large one.
-LARGE = 8_192
+MOST_ROWS = 8_192
+#: Different documents beyond this make a collection a large one, so that no task gets more of one collection.
+LARGE = 2_048
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
 OUTSIDE = 256
@@ -304,7 +304,7 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
             cols = [b[c].to_numpy() for c in ("rid", "first", "windows", "lead")]
             raws = b["raw"].to_pylist()
             for a, z in zip(cuts, cuts[1:]):
-                if size >= MOST_ROWS // 2 and held and held[-1][0][-1] != gram[a]:
+                if size >= MOST_ROWS - LARGE and held and held[-1][0][-1] != gram[a]:
                     yield solve(held)
                     held, size = [], 0
                 held.append((gram[a:z], *(c[a:z] for c in cols), raws[a:z]))
@@ -398,13 +398,15 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     texts = ws.table(texts.dropDuplicates(["rid"]) if twice else texts, "texts")
 
     found = _unpacked(ws.table(_classify(_find_runs(texts, length)), "runs"))
-    sizes = found.where(f"kind >= {COMPARE}").groupBy("gram").agg(F.max("kind").alias("most")).where(f"most = {HASHED}").select(F.col("gram").alias("g"))
-    wanted = found.where(f"kind >= {COMPARE}").join(sizes, F.col("gram") == F.col("g"), "left").withColumn("kind", F.when(F.col("g").isNull(), F.lit(COMPARE)).otherwise(F.lit(HASHED))).drop("g")
-    contexts = _contexts(texts, wanted, length)
-    compared = ws.table(_compare(contexts.where(f"kind = {COMPARE}"), length), "compared")
-    repeats = found.where(f"kind = {REPEAT}").select("rid", "first", F.col("windows").cast("bigint").alias("windows")).unionByName(compared)
-    if sizes.limit(1).count():
-        repeats = repeats.unionByName(ws.table(_hashed(contexts.where(f"kind = {HASHED}"), length), "hashed"))
+    large = found.where(f"kind = {HASHED}").select(F.col("gram").alias("g")).distinct()
+    wanted = found.where(f"kind >= {COMPARE}")
+    repeats = found.where(f"kind = {REPEAT}").select("rid", "first", F.col("windows").cast("bigint").alias("windows"))
+    if large.limit(1).count():
+        large = ws.table(large, "large")
+        hot = wanted.join(large, F.col("gram") == F.col("g"), "left_semi")
+        wanted = wanted.join(large, F.col("gram") == F.col("g"), "left_anti")
+        repeats = repeats.unionByName(ws.table(_hashed(_contexts(texts, hot, length), length), "hashed"))
+    repeats = repeats.unionByName(ws.table(_compare(_contexts(texts, wanted, length), length), "compared"))
     kept = _remove(texts, repeats, length, of)
     gone = F.col("n_bytes") >= length
     whole = copies.select(
@@ -416,3 +418,30 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
 def op6_suffix_dedup(spark, sf_dir):
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: Every window of 100 bytes, as hexadecimal digits; the texts are first cut into overlapping pieces, which only makes it faster.
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST, sha256(coalesce(text, ''))) AS r, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+  SELECT r, c, substring(h, CAST(2 * c + 1 AS BIGINT), 998) AS p FROM d, unnest(range(0, greatest(0, length(h) // 2 - 99), 400)) t(c)
+), w AS (
+  SELECT r, c + o AS s, md5_number(substring(p, CAST(2 * o + 1 AS BIGINT), 200)) AS w FROM pieces, unnest(range(0, least(400, length(p) // 2 - 99))) t(o)
+), again AS (
+  SELECT r, s FROM (SELECT r, s, row_number() OVER (PARTITION BY w ORDER BY r, s) AS k FROM w) WHERE k > 1
+), runs AS (
+  SELECT r, min(s) AS a, max(s) + 100 AS z
+  FROM (SELECT r, s, sum(CASE WHEN s > before + 100 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS island FROM (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM again))
+  GROUP BY r, island
+), ends AS (
+  SELECT r, a, z FROM runs UNION ALL SELECT r, length(h) // 2, length(h) // 2 FROM d
+), parts AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a, z), 0) AS start, a AS stop, z - a AS gone FROM ends
+), kept AS (
+  SELECT r, string_agg(substring(h, CAST(2 * start + 1 AS BIGINT), CAST(2 * (stop - start) AS BIGINT)), '' ORDER BY start, stop) AS h, sum(gone) AS gone, count(*) - 1 AS n
+  FROM parts JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(n AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (r)
+"""
