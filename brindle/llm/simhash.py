@@ -35,9 +35,10 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: Bytes of the wide fingerprint; lists of the index over it, and positions that a list agrees in.
 WIDE_BYTES, LISTS, POSITIONS = 32, 96, 3
 #: Bits in which the first 8 bytes, and all of it, may differ between candidates (at a similarity of 0.8, 9.5 and 38 are usual).
-NARROW_BITS, WIDE_BITS = 18, 56
-#: Members of a list this near to another are compared through that one.
-CLOSE_BITS = 6
+NARROW_BITS, WIDE_BITS = 17, 56
+#: A member of a list this near to an earlier one is compared with the nearest such only, so that a group of
+#: near copies gives about as many pairs as it has members.
+CLOSE_BITS = 10
 #: Lists up to this size are verified pair by pair.
 PAIRWISE = 64
 #: Shingles whose bits are counted at a time.
@@ -235,9 +236,9 @@ def _candidates(rows: DataFrame) -> DataFrame:
                     current, leaders, leader_ids = key[lo], leaders[:0], leader_ids[:0]
                 for i in range(lo, hi):
                     apart = np.bitwise_count(leaders ^ narrow[i])
-                    near = np.flatnonzero(apart <= CLOSE_BITS)
-                    if len(near):
-                        found.append((rid[i : i + 1], leader_ids[near[:1]]))
+                    if len(apart) and apart.min() <= CLOSE_BITS:
+                        nearest = int(apart.argmin())
+                        found.append((rid[i : i + 1], leader_ids[nearest : nearest + 1]))
                         continue
                     near = np.flatnonzero(apart <= NARROW_BITS)
                     if len(near):
