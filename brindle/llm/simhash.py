@@ -16,6 +16,7 @@ Documents with one fingerprint are a single entry of the index.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -32,13 +33,10 @@ MOST_BITS = 2
 SEED = 42
 #: Near copies by similarity: shared shingles of five words, of all that either text has.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: Bytes of the wide fingerprint; lists of the index over it, and positions that a list agrees in.
-WIDE_BYTES, LISTS, POSITIONS = 32, 96, 3
-#: Bits in which the first 8 bytes, and all of it, may differ between candidates (at a similarity of 0.8, 9.5 and 38 are usual).
-NARROW_BITS, WIDE_BITS = 17, 56
-#: A member of a list this near to an earlier one is compared with the nearest such only, so that a group of
-#: near copies gives about as many pairs as it has members.
-CLOSE_BITS = 10
+#: Buckets that shingles are counted in, in one of so many texts. The counts only say which shingles count as rare.
+BUCKET_BITS, COUNTED = 20, 16
+#: Rows of the index, and pairs, that are in memory at a time.
+SLICE, PAIRS = 256, 1 << 18
 #: Lists up to this size are verified pair by pair.
 PAIRWISE = 64
 #: Shingles whose bits are counted at a time.
@@ -69,17 +67,20 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int, wide: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed bigint) and digest (a hash of the text) for each row, with wide the wide fingerprint too."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int, prefix=None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed bigint) and digest (a hash of the text) for each row; with prefix, a function, also size (the number of different shingles) and prefix (what it makes of them)."""
     of = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             fps = [signed(fingerprint(t.as_py(), words, seed)) for t in b.column(1)]
-            more = [pa.array([wide_fingerprint(shingle_hashes(t.as_py())) for t in b.column(1)], pa.binary())] if wide else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2), *more], names=["doc_id", "fp", "digest"] + ["wide"] * wide)
+            more = []
+            if prefix:
+                sets = [shingle_hashes(t.as_py()) for t in b.column(1)]
+                more = [pa.array(map(len, sets), pa.int64()), pa.array([prefix(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2), *more], names=["doc_id", "fp", "digest"] + ["size", "prefix"] * bool(prefix))
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("d")).mapInArrow(run, f"doc_id {of}, fp bigint, digest bigint" + ", wide binary" * wide)
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("d")).mapInArrow(run, f"doc_id {of}, fp bigint, digest bigint" + ", size bigint, prefix binary" * bool(prefix))
 
 
 def shingle_hashes(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
@@ -96,23 +97,32 @@ def shingle_hashes(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), stops[k - 1 :].tolist())], np.uint64))
 
 
-def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
-    x = x + np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> bytes | None:
-    """A SimHash of WIDE_BYTES bytes over a set of shingles."""
-    if not len(hashes):
-        return None
-    ones = np.zeros(8 * WIDE_BYTES, np.int64)
-    for i in range(0, len(hashes), STEP // 4):
-        some = hashes[i : i + STEP // 4]
-        lanes = np.stack([_mixed(some, lane) for lane in range(WIDE_BYTES // 8)], 1)
-        ones += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+def shingle_counts(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How often the shingles of each bucket occur in one of COUNTED texts."""
+
+    def run(batches):
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(counts, _buckets(shingle_hashes(t.as_py())), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+
+    some = docs.select(F.col(text_col).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(COUNTED)) == 0)
+    found = some.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+    counts[found["bucket"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
+    return counts
+
+
+def rarest(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The prefix of a set of shingles in one order for all sets, rare ones first: as many that two sets which overlap by similarity or more have one in common."""
+    k = len(hashes) - math.ceil(similarity * len(hashes) * (1 - 1e-9)) + 1 if len(hashes) else 0
+    return hashes[np.argsort(counts[_buckets(hashes)], kind="stable")[:k]]
 
 
 def position_masks(bits: int) -> list[int]:
@@ -202,74 +212,77 @@ def simhash_components(docs: DataFrame, bits: int = MOST_BITS, words: int = SHIN
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "digest")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rids whose wide fingerprints meet in a list of the index and differ in few enough bits."""
-    n = partitions(rows.sparkSession)
-    rng = np.random.default_rng(SEED)
-    choices = np.array([np.sort(rng.choice(WIDE_BYTES, POSITIONS, replace=False)) for _ in range(LISTS)])
+def _lists(batches, names: list[str]):
+    """The columns of batches sorted by the first of them, cut where it changes: rows of one list are never apart."""
+    held = None
+    for b in batches:
+        now = [b[c].to_numpy() for c in names]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut:
+            yield [x[:cut] for x in now]
+        held = [x[cut:] for x in now]
+    if held is not None:
+        yield held
+
+
+def prefix_lists(rows: DataFrame) -> DataFrame:
+    """key (a shingle), rid, size and at (its place in the prefix) of each row that shares a shingle of its prefix with another row."""
 
     def entries(batches):
-        for b in batches:
-            wide = np.frombuffer(b"".join(b["wide"].to_pylist()), np.uint8).reshape(-1, WIDE_BYTES)
-            narrow = np.ascontiguousarray(wide[:, :8]).view(np.int64).reshape(-1)
-            rid = b["rid"].to_numpy()
-            for k, at in enumerate(choices):
-                key = np.full(len(rid), k, np.int64)
-                for p in at:
-                    key = key << 8 | wide[:, p]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(narrow)], names=["key", "rid", "narrow"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                each = [np.frombuffer(x.as_buffer(), np.int64) for x in b["prefix"]]
+                n = np.fromiter(map(len, each), np.int64, len(each))
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(each), np.repeat(b["rid"].to_numpy(), n), np.repeat(b["size"].to_numpy(), n), at)], names=names)
 
-    def meet(batches):
-        current, leaders, leader_ids = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            key, rid, narrow = b["key"].to_numpy(), b["rid"].to_numpy(), b["narrow"].to_numpy().view(np.uint64)
-            if not len(key):
-                continue
-            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, stops = np.append(0, cut), np.append(cut, len(key))
-            alone = stops - starts == 1
-            alone[0] &= key[0] != current
-            alone[-1] = False
-            found = []
-            for lo, hi in zip(starts[~alone].tolist(), stops[~alone].tolist()):
-                if key[lo] != current:
-                    current, leaders, leader_ids = key[lo], leaders[:0], leader_ids[:0]
-                for i in range(lo, hi):
-                    apart = np.bitwise_count(leaders ^ narrow[i])
-                    if len(apart) and apart.min() <= CLOSE_BITS:
-                        nearest = int(apart.argmin())
-                        found.append((rid[i : i + 1], leader_ids[nearest : nearest + 1]))
-                        continue
-                    near = np.flatnonzero(apart <= NARROW_BITS)
-                    if len(near):
-                        found.append((np.full(len(near), rid[i]), leader_ids[near]))
-                    leaders, leader_ids = np.append(leaders, narrow[i]), np.append(leader_ids, rid[i])
-            if found:
-                a, c = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
-
-    lists = rows.where("wide is not null").select("rid", "wide").mapInArrow(entries, "key bigint, rid bigint, narrow bigint")
-    met = lists.repartition(n, "key").sortWithinPartitions("key", "rid").mapInArrow(meet, "a bigint, b bigint").distinct()
-    wide = rows.select("rid", "wide")
-    both = met.join(wide.toDF("a", "wa"), "a").join(wide.toDF("b", "wb"), "b")
-
-    def near(batches):
-        for b in batches:
-            wa, wb = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, WIDE_BYTES) for c in ("wa", "wb"))
-            keep = pa.array(np.bitwise_count(wa ^ wb).sum(1) <= WIDE_BITS)
-            yield pa.RecordBatch.from_arrays([b["a"].filter(keep), b["b"].filter(keep)], names=["a", "b"])
+    def shared(batches):
+        for columns in _lists(batches, names):
+            again = columns[0][1:] == columns[0][:-1]
+            keep = np.append(again, False) | np.append(False, again)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=names)
 
-    return both.select("a", "b", "wa", "wb").mapInArrow(near, "a bigint, b bigint")
+    names = ["key", "rid", "size", "at"]
+    kind = "key bigint, rid bigint, size bigint, at bigint"
+    each = rows.where("size > 0").select("rid", "size", "prefix").mapInArrow(entries, kind)
+    return each.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "rid").mapInArrow(shared, kind)
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, ws: Workspace, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between rows (rid, doc_id, digest, wide) of docs whose sets of shingles overlap by similarity or more.
+def _may_overlap(size, at, i, j, similarity: float) -> np.ndarray:
+    """Whether rows i and j of a list can overlap by similarity, were the list's shingle the first that they share. Of similar sets, that one's list says yes."""
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    most = np.minimum(size[i] - at[i], size[j] - at[j])
+    return (small >= similarity * large - 1e-6) & (most >= similarity / (1 + similarity) * (small + large) - 1e-6)
 
-    Candidates come from the index over wide fingerprints, which finds pairs with a likelihood that grows with their similarity
-    (of LISTS lists); each is then verified on the whole texts' shingles. A row very close to another
-    of its list is compared with that one only.
-    """
-    pairs = ws.table(_candidates(rows), "candidates")
+
+def candidates(lists: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rids of the lists (see prefix_lists) that can overlap by similarity."""
+
+    def meet(batches):
+        for key, rid, size, at in _lists(batches, ["key", "rid", "size", "at"]):
+            left, apart, found, n = np.arange(len(key)), 0, [], 0
+            while len(left):
+                apart += 1
+                left = left[: np.searchsorted(left, len(key) - apart)]
+                left = left[key[left] == key[left + apart]]
+                near = left[_may_overlap(size, at, left, left + apart, similarity)]
+                found.append((rid[near], rid[near + apart]))
+                n += len(near)
+                if n >= PAIRS or not len(left):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+                    found, n = [], 0
+
+    sorted_lists = lists.repartition(partitions(lists.sparkSession), "key").sortWithinPartitions("key", "rid")
+    return sorted_lists.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, ws: Workspace, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Those of the pairs (a, b) of rows (rid, doc_id, digest) of docs whose sets of shingles overlap by similarity or more."""
     wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
     named = rows.join(wanted, F.col("rid") == F.col("w"), "left_semi").select("rid", F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("d"))
@@ -298,15 +311,19 @@ def similar_links(docs: DataFrame, rows: DataFrame, ws: Workspace, similarity: f
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest, root for each row of docs: rows with one root are linked, by fingerprints as in simhash_components or by similarity.
 
-    Rows of one id and one text share a root. Texts without words are linked to each other by their zero fingerprint.
+    Candidates are all pairs that share one of the rarest shingles of both (see rarest), which every similar pair does; each is
+    verified on whole texts. Rows of one id and one text share a root. Texts without words are linked to each other by their zero fingerprint.
     """
     ws = Workspace(docs.sparkSession, "similar")
-    rows = ws.table(fingerprints(docs, id_col, text_col, SHINGLE_WORDS, SEED, wide=True).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
+    counts = shingle_counts(docs, text_col)
+    rows = ws.table(fingerprints(docs, id_col, text_col, SHINGLE_WORDS, SEED, lambda s: rarest(s, counts, similarity)).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
     firsts = ws.table(rows.groupBy("fp").agg(F.min("rid").alias("first")), "distinct")
     same = rows.join(firsts, "fp").select(F.col("rid").alias("a"), F.col("first").alias("b"))
     near = near_links(firsts.select("fp")).distinct()
     near = near.join(firsts.toDF("a", "ra"), "a").join(firsts.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    links = ws.table(same.unionByName(near).unionByName(similar_links(docs, rows, ws, similarity, id_col, text_col)), "all-links")
+    pairs = ws.table(candidates(ws.table(prefix_lists(rows), "lists"), similarity), "candidates")
+    similar = verified(pairs, docs, rows, ws, similarity, id_col, text_col)
+    links = ws.table(same.unionByName(near).unionByName(similar), "all-links")
     roots = components(links, ws)
     return rows.join(roots, F.col("rid") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "rid").alias("root"))
 

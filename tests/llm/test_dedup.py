@@ -250,3 +250,30 @@ def test_column_classes_are_a_suffix_order():
         assert keys == sorted(keys)
         classes = [(group[i], *symbols[i, column : column + 4]) for i in order]
         assert starts.tolist() == [k for k in range(60) if k == 0 or classes[k] != classes[k - 1]]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def changed(rnd, words, times):
+    words = list(words)
+    for at in rnd.sample(range(len(words)), times):
+        words[at] = f"n{rnd.getrandbits(40)}"
+    return words
+
+
+def test_similar_pairs_at_the_threshold_lose_none(spark):
+    rnd = random.Random(11)
+    pairs = []
+    while len(pairs) < 150:
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(100, 400))]
+        a, b = " ".join(words), " ".join(changed(rnd, words, len(words) // 45))
+        if 0.8 <= jaccard(a, b) < 0.85:
+            pairs.append((a, b))
+    docs = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id bigint, text string")
+    kept = {r.doc_id for r in drop_near_copies(docs).collect()}
+    lost = sum(2 * i + 1 in kept for i in range(len(pairs)))
+    assert lost == 0, f"{lost} of {len(pairs)} pairs are not found"
+    assert {2 * i for i in range(len(pairs))} <= kept
