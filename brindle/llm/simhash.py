@@ -261,16 +261,18 @@ def _may_overlap(size, at, i, j, similarity: float) -> np.ndarray:
 
 
 def candidates(lists: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rids of the lists (see prefix_lists) that can overlap by similarity."""
+    """All pairs (a, b) of rids of the lists (see prefix_lists) that can overlap by similarity and whose rows (column root) are not of one component yet."""
 
     def meet(batches):
-        for key, rid, size, at in _lists(batches, ["key", "rid", "size", "at"]):
-            left, apart, found, n = np.arange(len(key)), 0, [], 0
+        for key, rid, size, at, root in _lists(batches, ["key", "rid", "size", "at", "root"]):
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            left, apart, found, n = np.flatnonzero(np.repeat(several, np.diff(np.append(starts, len(key))))), 0, [], 0
             while len(left):
                 apart += 1
                 left = left[: np.searchsorted(left, len(key) - apart)]
                 left = left[key[left] == key[left + apart]]
-                near = left[_may_overlap(size, at, left, left + apart, similarity)]
+                near = left[(root[left] != root[left + apart]) & _may_overlap(size, at, left, left + apart, similarity)]
                 found.append((rid[near], rid[near + apart]))
                 n += len(near)
                 if n >= PAIRS or not len(left):
@@ -281,6 +283,25 @@ def candidates(lists: DataFrame, similarity: float) -> DataFrame:
     return sorted_lists.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
+def first_candidates(lists: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each row of a list with the first of the list that it can overlap by similarity: about as many as rows, so a group of near copies is found without all its pairs."""
+
+    def meet(batches):
+        for key, rid, size, at in _lists(batches, ["key", "rid", "size", "at"]):
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            first = np.repeat(starts, np.diff(np.append(starts, len(key))))
+            left, apart = np.arange(len(key)), 0
+            while len(left):
+                left = left[first[left] + apart < left]
+                near = _may_overlap(size, at, first[left] + apart, left, similarity)
+                done, left = left[near], left[~near]
+                yield pa.RecordBatch.from_arrays([pa.array(rid[first[done] + apart]), pa.array(rid[done])], names=["a", "b"])
+                apart += 1
+
+    sorted_lists = lists.repartition(partitions(lists.sparkSession), "key").sortWithinPartitions("key", "rid")
+    return sorted_lists.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, ws: Workspace, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Those of the pairs (a, b) of rows (rid, doc_id, digest) of docs whose sets of shingles overlap by similarity or more."""
     wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
@@ -312,7 +333,8 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     """doc_id, digest, root for each row of docs: rows with one root are linked, by fingerprints as in simhash_components or by similarity.
 
     Candidates are all pairs that share one of the rarest shingles of both (see rarest), which every similar pair does; each is
-    verified on whole texts. Rows of one id and one text share a root. Texts without words are linked to each other by their zero fingerprint.
+    verified on whole texts. Only pairs that verified links have joined already are left out: first each row is compared with one
+    other of a list, then with all of other components. Rows of one id and one text share a root. Texts without words are linked to each other by their zero fingerprint.
     """
     ws = Workspace(docs.sparkSession, "similar")
     counts = shingle_counts(docs, text_col)
@@ -321,9 +343,14 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     same = rows.join(firsts, "fp").select(F.col("rid").alias("a"), F.col("first").alias("b"))
     near = near_links(firsts.select("fp")).distinct()
     near = near.join(firsts.toDF("a", "ra"), "a").join(firsts.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    pairs = ws.table(candidates(ws.table(prefix_lists(rows), "lists"), similarity), "candidates")
+    lists = ws.table(prefix_lists(rows), "lists")
+    pairs = ws.table(first_candidates(lists, similarity), "first-candidates")
+    similar = verified(pairs, docs, rows, ws, similarity, id_col, text_col)
+    roots = ws.table(components(ws.table(same.unionByName(near).unionByName(similar), "first-links"), ws), "roots")
+    rooted = lists.join(roots, F.col("rid") == F.col("node"), "left").select("key", "rid", "size", "at", F.coalesce("root", "rid").alias("root"))
+    pairs = ws.table(candidates(rooted, similarity), "candidates")
     similar = verified(pairs, docs, rows, ws, similarity, id_col, text_col)
-    links = ws.table(same.unionByName(near).unionByName(similar), "all-links")
+    links = ws.table(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar), "all-links")
     roots = components(links, ws)
     return rows.join(roots, F.col("rid") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "rid").alias("root"))
 

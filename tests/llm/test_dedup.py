@@ -277,3 +277,17 @@ def test_similar_pairs_at_the_threshold_lose_none(spark):
     lost = sum(2 * i + 1 in kept for i in range(len(pairs)))
     assert lost == 0, f"{lost} of {len(pairs)} pairs are not found"
     assert {2 * i for i in range(len(pairs))} <= kept
+
+
+def test_a_family_of_near_copies_keeps_all_its_links(spark):
+    rnd = random.Random(12)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(220)]
+        texts += [" ".join(changed(rnd, base, rnd.choice((2, 3, 4, 5)))) for _ in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    fps = [plain_fingerprint(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2 or i // 25 == j // 25 and jaccard(texts[i], texts[j]) >= 0.8]
+    want = union_find(len(texts), pairs)
+    kept = {r.doc_id for r in drop_near_copies(docs).collect()}
+    assert len(set(want)) > 8 and kept == set(want)
