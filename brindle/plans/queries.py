@@ -588,3 +588,47 @@ QUERIES["tpcc_district_lookup"] = _district
 @query("SELECT o_custkey, round(sum(o_totalprice), 1) AS paid, CAST(count(*) AS BIGINT) AS orders_ FROM orders WHERE o_custkey BETWEEN 1 AND 50 GROUP BY o_custkey")
 def tpcc_payment_totals(spark, sf):
     return R.scan(t(spark, sf, "orders"), None, "o_custkey", 1, 50, upper_inclusive=True).groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 1).alias("paid"), F.count("*").alias("orders_"))
+
+
+# the same operators over whole tables
+
+
+def _whole(spark, sf):
+    of = lambda name, p: t(spark, sf, name).selectExpr(f"nullif({p}_nationkey, 3) AS k", f"CAST(floor({p}_acctbal / 500) AS BIGINT) AS b")
+    return of("customer", "c"), of("supplier", "s")
+
+
+_WA, _WB = (f"SELECT nullif({p}_nationkey, 3) AS k, CAST(floor({p}_acctbal / 500) AS BIGINT) AS b FROM {name}" for name, p in (("customer", "c"), ("supplier", "s")))
+
+
+@query(f"{_WA} UNION ALL {_WB}")
+def union_all_whole(spark, sf):
+    return R.union_all(*_whole(spark, sf))
+
+
+@query(f"{_WA} UNION {_WB}")
+def union_distinct_whole(spark, sf):
+    return R.union_distinct(*_whole(spark, sf))
+
+
+@query(f"{_WA} EXCEPT {_WB}")
+def except_distinct_whole(spark, sf):
+    return R.except_distinct(*_whole(spark, sf))
+
+
+@query(f"{_WA} INTERSECT {_WB}")
+def intersect_distinct_whole(spark, sf):
+    return R.intersect_distinct(*_whole(spark, sf))
+
+
+@query("SELECT k, a, b, c FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) JOIN (SELECT s_nationkey AS k, s_suppkey AS b FROM supplier) USING (k) JOIN (SELECT c_nationkey AS k, c_custkey AS c FROM customer) USING (k)")
+def join_nway_whole(spark, sf):
+    return R.n_way(t(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("a")), t(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("b")), t(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("c")), on=["k"])
+
+
+same_sql("tpcc_stock_level_whole", "SELECT l_orderkey, CAST(count(DISTINCT l_partkey) AS BIGINT) AS low FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 15 GROUP BY l_orderkey", ["lineitem", "part"])
+
+
+@query("SELECT o_custkey, round(sum(o_totalprice), 1) AS paid, CAST(count(*) AS BIGINT) AS orders_ FROM orders GROUP BY o_custkey")
+def tpcc_payment_totals_whole(spark, sf):
+    return t(spark, sf, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 1).alias("paid"), F.count("*").alias("orders_"))
