@@ -75,14 +75,16 @@ def piece_starts(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class BatchTokenizer:
-    """Ids of texts, each followed by an end id. Strings of special tokens in a text are ordinary text."""
+    """Ids of texts, each followed by an end id. Strings of special tokens in a text are ordinary text, or with special what the library makes of them by default."""
 
     #: Most distinct pieces remembered at a time.
     MOST = 2_000_000
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, special: bool = False):
         from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if special else []
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
         self.end_id = end_id
@@ -105,7 +107,17 @@ class BatchTokenizer:
                 self.flat.extend(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids laid end to end (little-endian 32 bits), and how many each text has."""
+        """All ids laid end to end (little-endian 32 bits), and how many each text has. The few texts with an added token in them are coded whole by the library."""
+        whole = {i: t for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        ids, counts = self._encode(["" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
+        if not whole:
+            return ids, counts
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i, coded in zip(whole, self.library.encode_batch(list(whole.values()), add_special_tokens=False)):
+            parts[i] = np.array([*coded.ids, self.end_id], "<u4")
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.MOST:
             self.forget()
         joined = "".join(texts)
@@ -142,7 +154,7 @@ _coders: dict[tuple, BatchTokenizer] = {}
 
 
 def coder(path: str, end_id: int) -> BatchTokenizer:
-    """This worker's tokenizer for a file."""
+    """This worker's tokenizer for a file, with the library's default settings."""
     if (path, end_id) not in _coders:
-        _coders[path, end_id] = BatchTokenizer(path, end_id)
+        _coders[path, end_id] = BatchTokenizer(path, end_id, special=True)
     return _coders[path, end_id]

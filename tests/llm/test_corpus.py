@@ -268,6 +268,18 @@ def test_patterns_pack_everything():
         assert bins(got) <= 1.23 * least + 2
 
 
+def test_packing_codes_special_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "one  <|endoftext|>  two \n<|endoftext|><|endoftext|>", "<|endoftext|", "plain text", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(docs, TOKENIZER, 1024).collect()}
+    for i, text in enumerate(texts):
+        ids = t.encode(text, add_special_tokens=False).ids + [2]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 @pytest.mark.parametrize("capacity", [7, 1024])
 def test_packing_round_trip(documents, empty, capacity):
     from tokenizers import Tokenizer
