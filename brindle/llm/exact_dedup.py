@@ -8,7 +8,7 @@ same last name if and only if they are equal: a name stands for one content, nev
 Block contents cross the network once, after map-side combination, so a text that a third of all
 rows repeat is one row of a partition's output. The rows of the documents meet the names through a
 128-bit key; that the key tells all contents of this corpus apart is checked on the contents
-themselves, and a wider key is taken if it ever does not.
+themselves, and if it ever does not a wider key is taken, in the end the content itself.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.work import SPACE, Workspace, table
+from brindle.llm.work import SPACE, Workspace, named_as, numbered, table
 
 BLOCK_BYTES = 8192
 
@@ -27,8 +27,10 @@ def normalised(text: Column) -> Column:
 
 
 def _keys(width: int) -> list:
-    """Functions of a block whose values together are its key: 128 bits at first, then 512 more."""
+    """Functions of a block whose values together are its key: 128 bits at first, then 120 more, at last the block itself."""
     out = [lambda b: F.xxhash64(b), lambda b: F.xxhash64(F.lit(1), b)]
+    if width == 2:
+        return [lambda b: b]
     return out if width == 0 else [*out, lambda b: F.conv(F.substring(F.sha2(b, 512), 1, 15), 16, 10).cast("long"), lambda b: F.conv(F.substring(F.sha2(b, 512), 16, 15), 16, 10).cast("long")]
 
 
@@ -44,7 +46,7 @@ def _named(distinct: DataFrame, *order: str) -> DataFrame:
 def identities(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """rid (one for each row), doc_id, text_sha256, n_blocks, name: rows are equal texts if and only if (n_blocks, name) agree."""
     raw = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).cast("binary").alias("raw")).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / F.lit(block_bytes))).cast("int"))
-    for width in range(2):
+    for width in range(3):
         keys = _keys(width)
         k = [f"k{i}" for i in range(len(keys))]
         rows = ws.table(
@@ -56,8 +58,6 @@ def identities(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col:
         clash = names.groupBy(*k).count().where("count > 1").limit(1).count()
         if not clash:
             break
-    else:
-        raise ValueError("two block contents share their widest key")
     cur = rows.select("rid", "n_blocks", F.posexplode("keys").alias("pos", "key")).select("rid", "n_blocks", "pos", *(F.col(f"key.{c}") for c in k))
     cur = cur.join(names, k).select("rid", "n_blocks", "pos", "name")
     most = rows.agg(F.max("n_blocks")).first()[0] or 1
@@ -93,14 +93,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with their own text; columns stay as they are."""
+    """The rows of docs that exact_dedup keeps, with their own text; columns and values stay as they are, whatever their names."""
     ws = Workspace(docs.sparkSession, "copies")
-    rows = ws.table(exact_dedup(docs, id_col, text_col, **options).select("doc_id", "text_sha256", "kept"), "kept")
-    kept = rows.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__want"))
+    own, doc_id, text = numbered(docs, id_col, text_col)
+    rows = ws.table(exact_dedup(own, doc_id, text, **options).select("doc_id", "text_sha256", "kept"), "kept")
+    kept = rows.where("kept").select("doc_id", "text_sha256")
     again = rows.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
-    mine = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    out = mine.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__want")), "left_semi")
-    return (out.dropDuplicates([id_col, "__sha"]) if again else out).drop("__sha")
+    own = own.withColumn("sha", F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    out = own.join(kept, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256")), "left_semi")
+    return named_as(out.dropDuplicates([doc_id, "sha"]) if again else out, docs)
 
 
 def op9_exact_dedup(spark, sf_dir):

@@ -39,9 +39,9 @@ MOST_LANGUAGES = 4096
 #: Characters that are counted at a time when training (one text may be longer).
 STEP_CHARS = 1 << 20
 #: Texts, and n-grams of texts, that are judged at a time.
-STEP_TEXTS, STEP_GRAMS = 64, 50_000
-#: Most different n-grams whose vectors a worker remembers.
-MOST_GRAMS = 200_000
+STEP_TEXTS, STEP_GRAMS = 64, 20_000
+#: Most different n-grams whose vectors a task remembers.
+MOST_GRAMS = 100_000
 
 _letters = None
 
@@ -88,7 +88,7 @@ def grams(text: str, n: int = NGRAM, ends: np.ndarray | None = None) -> tuple[np
 
 
 class Vectors:
-    """Letter and n-gram vectors, the same in every worker."""
+    """Letter and n-gram vectors, the same in every task; a task's own, so that a worker keeps nothing of them."""
 
     def __init__(self, dimensions: int, seed: int):
         self.dimensions, self.seed = dimensions, seed
@@ -97,11 +97,11 @@ class Vectors:
 
     def of_letter(self, code: int) -> np.ndarray:
         if code not in self.letter:
-            self.letter[code] = np.random.default_rng([self.seed, code]).integers(0, 2, self.dimensions).astype(np.float32) * 2 - 1
+            self.letter[code] = np.random.default_rng([self.seed, code]).integers(0, 2, self.dimensions).astype(np.int8) * 2 - 1
         return self.letter[code]
 
     def _made(self, rows: np.ndarray) -> np.ndarray:
-        out = np.ones((len(rows), self.dimensions), np.float32)
+        out = np.ones((len(rows), self.dimensions), np.int8)
         for i in range(rows.shape[1]):
             used, which = np.unique(rows[:, i], return_inverse=True)
             out *= np.stack([np.roll(self.of_letter(c), rows.shape[1] - 1 - i) for c in used.tolist()])[which]
@@ -115,7 +115,7 @@ class Vectors:
         key = rows[:, 0]
         for i in range(1, n):
             key = key << 21 | rows[:, i]
-        keys, table = self.known.get(n, (np.zeros(0, np.int64), np.zeros((0, self.dimensions), np.float32)))
+        keys, table = self.known.get(n, (np.zeros(0, np.int64), np.zeros((0, self.dimensions), np.int8)))
         at = np.searchsorted(keys, key)
         new = np.ones(len(key), bool) if not len(keys) else keys[np.minimum(at, len(keys) - 1)] != key
         if new.any():
@@ -136,7 +136,7 @@ class Vectors:
         found, first, which = _distinct(rows)
         counts = np.zeros((len(texts), found), np.float32)
         counts[np.repeat(np.arange(len(texts)), [len(r) for r, _ in texts]), which] = np.concatenate([c for _, c in texts])
-        return counts @ self.of_grams(rows[first])
+        return counts @ self.of_grams(rows[first]).astype(np.float32)
 
 
 def _distinct(rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -151,22 +151,13 @@ def _distinct(rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return len(first), first, which
 
 
-_vectors: dict[tuple, Vectors] = {}
-
-
-def vectors(dimensions: int, seed: int) -> Vectors:
-    """This worker's vectors."""
-    if (dimensions, seed) not in _vectors:
-        _vectors[dimensions, seed] = Vectors(dimensions, seed)
-    return _vectors[dimensions, seed]
-
-
 def train(rows: DataFrame, dimensions: int = DIMENSIONS, n: int = NGRAM, seed: int = SEED) -> dict[str, np.ndarray]:
     """Prototypes from rows (text, lang): for each language the bundle of all its texts. Rows without a language or without letters add nothing."""
 
     def add(batches):
         total: dict[str, np.ndarray] = {}
         texts: dict[str, list] = {}
+        v = Vectors(dimensions, seed)
 
         def count(lang):
             held = texts.pop(lang)
@@ -174,7 +165,6 @@ def train(rows: DataFrame, dimensions: int = DIMENSIONS, n: int = NGRAM, seed: i
             found = grams(BETWEEN.join([*held[1], ""]), n, np.cumsum(sizes) - 2)
             if found:
                 rows, counts = found
-                v = vectors(dimensions, seed)
                 own = total.setdefault(lang, np.zeros(dimensions, np.int64))
                 for i in range(0, len(rows), 4096):
                     own += np.rint(counts[i : i + 4096].astype(np.float64) @ v.of_grams(rows[i : i + 4096])).astype(np.int64)
@@ -216,7 +206,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     at = columns.index(text_col)
 
     def run(batches):
-        v = vectors(dimensions, seed)
+        v = Vectors(dimensions, seed)
         for b in batches:
             lang, score = [UNDETERMINED] * b.num_rows, [0.0] * b.num_rows
             held, size = [], 0

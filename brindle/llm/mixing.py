@@ -8,7 +8,8 @@ that is computed, not stored, another one for each pass over the source. The slo
 blocks by (source, block index).
 
 A source never gives more than its quota of blocks: draws beyond it are passed on, and closing
-shards take the sources that are still short, so totals are exact while shards stay random.
+shards take the sources that are still short, so totals are exact while shards stay random. Of
+a source's last draw only the words are taken that its target still wants.
 
 All of it is DataFrame expressions. Work is dealt by (source, hash bucket of the document) or by
 (source, block index), so a source with a third of all rows spreads like any other; the passes
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.work import SPACE, Workspace, partitions, table
+from brindle.llm.work import SPACE, Workspace, named_as, numbered, partitions, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -32,6 +33,11 @@ SEED = 17
 ROUNDS = 24
 #: Most documents of a source that one ordered pass over a hash bucket is meant to hold.
 BUCKET_ROWS = 4096
+#: Buckets whose sums are added up at a time.
+BUCKET_GROUP = 1024
+#: Least number of buckets; the rest depends on the rows alone, so that the mix does not depend on the cluster.
+LEAST_BUCKETS = 64
+PRIME = (1 << 31) - 1
 #: Cells of [0, 1) through which a uniform draw finds its source.
 CELLS = 4096
 
@@ -40,14 +46,21 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("bigint")
 
 
+def mixed(h: Column, x: Column) -> Column:
+    """A pseudorandom number in [0, PRIME) from one, h, and a further number x of at least 0: in integers alone, so that any SQL engine gets the same."""
+    a = (h * 48271 + x % PRIME) % PRIME
+    return (a * a + F.call_function("div", x, F.lit(PRIME)) + 12345) % PRIME
+
+
 def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """The place of x under a pseudorandom permutation of [0, n), by swap-or-not rounds."""
+    """The place of x under a pseudorandom permutation of [0, n), by swap-or-not rounds; key is in [0, PRIME)."""
 
     def one(v, r):
-        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - v, n)
-        return F.when(F.xxhash64(key, r, F.greatest(v, other)) % 2 == 0, v).otherwise(other)
+        k = mixed(key, r)
+        other = F.pmod((k * PRIME + mixed(k, r)) % n - v, n)
+        return F.when(mixed(mixed(k, F.greatest(v, other)), r) % 2 == 0, v).otherwise(other)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("bigint"), one)
+    return F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.lit(rounds).cast("bigint")), x.cast("bigint"), one)
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
@@ -72,9 +85,9 @@ class Mix:
     """What mix_sources returns.
 
     documents: a row for each input row: doc_id, size, source_size, target, taken, digest, source.
-    plan: shard, sid, number, block: the blocks of each output shard.
-    covered: doc_id, digest, nth, start, size, block, times, first, words: for each row the blocks
-    over it, how often each is taken, and which of the row's words (from 0) it holds.
+    plan: shard, sid, number, block, words: the blocks of each output shard, and how many words of each are taken.
+    covered: doc_id, digest, nth, start, size, block, times, first, words, rest: for each row the blocks
+    over it, how often each is taken, which of the row's words (from 0) it holds, and how many of them one more, cut draw takes.
     """
 
     def __init__(self, documents: DataFrame, plan: DataFrame, covered: DataFrame):
@@ -86,24 +99,28 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
 
     A null text has no words; documents and sources without words take no part and get taken 0.
     A null source is a source of its own, the last. Repeated rows are separate documents. The draw
-    depends on ids, sizes, texts' hashes and the seed only, so reruns agree. A document's words are
+    depends on ids, sizes and the seed only (and texts' hashes, where ids repeat), so reruns agree on any cluster. A document's words are
     taken at most ``most`` times. Other columns are ignored; an empty table gives empty tables.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "mixing")
     rows = ws.table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("digest")), "rows")
     sources = ws.table(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).drop("rows"), weights, share, most), "sources")
-    blocks = F.ceil(F.col("source_size") / F.lit(float(block_words))).cast("bigint")
-    quota = F.least(blocks * most, F.round(F.col("target") * blocks / F.greatest(F.col("source_size"), F.lit(1))).cast("bigint"))
-    quotas = ws.table(sources.withColumn("blocks", blocks).withColumn("quota", quota), "quotas")
+    # a target is so many whole passes over the source and some words of one more; one block of a source is short
+    quotas = sources.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(float(block_words))).cast("bigint")).withColumn("wanted", F.least(F.col("source_size") * most, F.round("target").cast("bigint")))
+    quotas = quotas.withColumn("passes", F.coalesce(F.expr("wanted div nullif(source_size, 0)"), F.lit(0))).withColumn("extra", F.col("wanted") - F.col("passes") * F.col("source_size")).withColumn("short", F.col("blocks") * block_words - F.col("source_size"))
+    quotas = ws.table(quotas.withColumn("quota", F.col("passes") * F.col("blocks") + F.when(F.col("extra") > 0, F.least(F.col("blocks"), F.expr(f"(extra + short + {block_words - 1}) div {block_words}"))).otherwise(0)), "quotas")
     slots, n_rows = (x or 0 for x in (quotas.agg(F.sum("quota")).first()[0], rows.count()))
     shards = -(-slots // shard_blocks)
 
     # where each document starts in its source's stream
-    n_buckets = max(partitions(spark), -(-n_rows // BUCKET_ROWS))
-    placed = rows.join(sources.drop("weight"), rows["source"].eqNullSafe(sources["source"])).select("doc_id", "digest", "size", "sid", rows["source"].alias("source"), "source_size", "target", F.pmod(F.xxhash64("doc_id", "size", "digest"), F.lit(n_buckets)).alias("bucket"))
-    sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-    sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("words")).drop("words")
+    n_buckets = max(LEAST_BUCKETS, -(-n_rows // BUCKET_ROWS))
+    bucket = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n_buckets
+    placed = rows.join(sources.drop("weight"), rows["source"].eqNullSafe(sources["source"])).select("doc_id", "digest", "size", "sid", rows["source"].alias("source"), "source_size", "target", bucket.alias("bucket"))
+    sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words")).withColumn("group", F.expr(f"bucket div {BUCKET_GROUP}"))
+    groups = sums.groupBy("sid", "group").agg(F.sum("words").alias("all"))
+    groups = groups.select("sid", "group", (F.sum("all").over(Window.partitionBy("sid").orderBy("group")) - F.col("all")).alias("earlier"))
+    sums = sums.join(groups, ["sid", "group"]).withColumn("before", F.col("earlier") + F.sum("words").over(Window.partitionBy("sid", "group").orderBy("bucket")) - F.col("words")).select("sid", "bucket", "before")
     inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     nth = F.row_number().over(Window.partitionBy("sid", "bucket", "doc_id", "size", "digest").orderBy("doc_id"))
     placed = placed.withColumn("nth", nth).withColumn("upto", F.sum("size").over(inside)).join(sums, ["sid", "bucket"])
@@ -121,18 +138,26 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     within = drawn.withColumn("count", F.least(F.col("count"), F.col("quota") - F.col("first"))).where("count > 0").select("shard", "sid", "first", "count")
     short = quotas.select("sid", "quota").join(drawn.groupBy("sid").agg(F.sum("count").alias("got")), "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < quota")
     closing = short.withColumn("k", F.explode(F.expr(f"sequence(0L, (quota - got - 1) div {shard_blocks})"))).select((F.lit(shards) + F.col("k")).alias("shard"), "sid", F.expr(f"got + k * {shard_blocks}").alias("first"), F.expr(f"least({shard_blocks}, quota - got - k * {shard_blocks})").alias("count"))
-    plan = within.unionByName(closing).join(quotas.select("sid", "blocks"), "sid").repartition(partitions(spark), "shard", "sid")
+    plan = within.unionByName(closing).join(quotas.select("sid", "source_size", "blocks", "passes", "extra", "short"), "sid").repartition(partitions(spark), "shard", "sid")
     plan = plan.withColumn("number", F.explode(F.expr("sequence(first, first + count - 1)")))
-    key = F.xxhash64(F.lit(seed), F.col("sid"), F.expr("number div blocks"))
-    plan = ws.table(plan.select("shard", "sid", "number", permuted(F.expr("number % blocks"), F.col("blocks"), key).alias("block")), "plan")
+    key = mixed(mixed(F.lit(seed).cast("bigint"), F.col("sid").cast("bigint")), F.expr("number div blocks"))
+    plan = ws.table(plan.withColumn("block", permuted(F.expr("number % blocks"), F.col("blocks"), key)).select("shard", "sid", "number", "blocks", "passes", "extra", "short", "block"), "plan")
+    # in the pass that is not whole, the words before a draw are those of the draws before it, of which one may be the short block
+    shorter = plan.where("number >= passes * blocks and block = blocks - 1").select("sid", F.col("number").alias("short_at"))
+    before = F.expr(f"(number - passes * blocks) * {block_words} - if(short_at < number, short, 0L)")
+    whole = F.expr(f"{block_words} - if(block = blocks - 1, short, 0L)")
+    plan = plan.join(shorter, "sid", "left").withColumn("words", F.when(F.expr("number < passes * blocks"), whole).otherwise(F.least(whole, F.col("extra") - before)))
+    plan = plan.where("words > 0").select("shard", "sid", "number", "block", "words", (F.col("words") == whole).alias("whole"))
 
     # blocks meet documents by index
-    times = plan.groupBy("sid", "block").agg(F.count("*").alias("times"))
+    times = plan.groupBy("sid", "block").agg(F.count_if("whole").alias("times"), F.max(F.expr("if(whole, 0L, words)")).alias("cut"))
     over = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
     over = over.withColumn("first", F.greatest(F.lit(0), F.col("block") * block_words - F.col("start"))).withColumn("words", F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("start")) - F.col("first"))
     covered = over.join(times, ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    rest = F.least(F.col("words"), F.coalesce("cut", F.lit(0)) + F.col("block") * block_words - F.col("start") - F.col("first"))
+    covered = covered.withColumn("rest", F.greatest(F.lit(0), rest)).drop("cut")
     row = ["doc_id", "digest", "nth", "source", "size", "source_size", "target"]
-    taken = covered.groupBy(*row, "start").agg(F.sum(F.col("times") * F.col("words")).alias("taken")).select(*row, "taken")
+    taken = covered.groupBy(*row, "start").agg(F.sum(F.col("times") * F.col("words") + F.col("rest")).alias("taken")).select(*row, "taken")
     none = placed.where("size = 0").select(*row, F.lit(0).cast("bigint").alias("taken"))
     return Mix(taken.unionByName(none), plan, covered)
 
@@ -144,23 +169,24 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     which some are gives one row for each unbroken run of taken blocks. n_chars, where there is such
     a column, is made to fit. Rows of documents that no block was taken of are gone.
     """
-    text = options.get("text_col", "text")
-    doc_id = options.get("id_col", "doc_id")
-    mix = mix_sources(docs, **options)
-    passes = mix.covered.where("times > 0").withColumn("pass", F.explode(F.expr("sequence(1, cast(times as int))")))
-    row = ["doc_id", "digest", "nth", "size"]
+    names = [options.pop(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))]
+    own, doc_id, text, source = numbered(docs, *names)
+    mix = mix_sources(own, id_col=doc_id, text_col=text, source_col=source, **options)
+    passes = mix.covered.where("times > 0 or rest > 0").withColumn("pass", F.explode(F.expr("sequence(1, cast(times as int) + if(rest > 0, 1, 0))"))).withColumn("words", F.expr("if(pass > times, rest, words)"))
+    row = ["doc_id", "digest", "nth", "source", "size"]
     in_order = Window.partitionBy(*row, "pass").orderBy("block")
     runs = passes.withColumn("island", F.col("block") - F.row_number().over(in_order)).groupBy(*row, "pass", "island").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
-    runs = runs.groupBy(*row).agg(F.collect_list(F.struct("first", "words")).alias("__runs")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("nth").alias("__nth"), F.col("size").alias("__size"), "__runs")
-    mine = docs.withColumn("__mine", F.xxhash64(F.col(text)))
+    runs = runs.groupBy(*row).agg(F.collect_list(F.struct("first", "words")).alias("runs"))
+    own = own.withColumn("mine", F.xxhash64(F.col(text)))
     repeated = mix.documents.where("nth > 1").limit(1).count()
-    mine = mine.withColumn("__n", F.row_number().over(Window.partitionBy(doc_id, "__mine").orderBy(doc_id)) if repeated else F.lit(1))
-    out = mine.join(runs, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__mine") == F.col("__digest")) & (F.col("__n") == F.col("__nth"))).withColumn("__run", F.explode("__runs"))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"([^{SPACE}]+[{SPACE}]*)"), F.lit(1)), (F.col("__run.first") + 1).cast("int"), F.col("__run.words").cast("int")), "")
-    out = out.withColumn(text, F.when(F.col("__run.words") == F.col("__size"), F.col(text)).otherwise(F.regexp_replace(part, f"[{SPACE}]+$", "")))
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy(doc_id, "mine", source).orderBy(doc_id)) if repeated else F.lit(1))
+    out = own.join(runs, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("mine") == F.col("digest")) & (F.col("n") == F.col("nth")) & F.col(source).eqNullSafe(F.col("source"))).withColumn("run", F.explode("runs"))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"([^{SPACE}]+[{SPACE}]*)"), F.lit(1)), (F.col("run.first") + 1).cast("int"), F.col("run.words").cast("int")), "")
+    out = out.withColumn(text, F.when(F.col("run.words") == F.col("size"), F.col(text)).otherwise(F.regexp_replace(part, f"[{SPACE}]+$", "")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(F.col(text)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        n_chars = numbered(docs, "n_chars")[1]
+        out = out.withColumn(n_chars, F.char_length(F.col(text)).cast(docs.schema["n_chars"].dataType))
+    return named_as(out, docs)
 
 
 def op3_source_mixing(spark, sf_dir):

@@ -8,9 +8,8 @@ positions and the bytes there. A pair reaches the minimum if and only if it meet
 lists; it then meets in C(t, 8 - d) of them where t is its tally. Only such pairs are looked at.
 
 All of a list agrees in 8 - d bytes, so a list never has more than 256**d different fingerprints
-(65,536 for two bits), whatever the data. Short lists are verified pair by pair; in long ones the
-members meet under their masks with d bits cleared, whose groups hold at most 2**d fingerprints and
-nothing but true links. Either way a list gives a spanning forest of its links, not all of them.
+(65,536 for two bits), whatever the data. Its members are verified under masks with d bits cleared, whose
+groups hold nothing but true links. A list gives a spanning forest of its links, not all of them.
 Documents with one fingerprint are a single entry of the index.
 """
 
@@ -26,35 +25,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.graph import components
-from brindle.llm.work import Workspace, partitions, table
+from brindle.llm.work import Workspace, named_as, numbered, partitions, table
 
 SHINGLE_WORDS = 3
 MOST_BITS = 2
 SEED = 42
 #: Near copies by similarity: shared shingles of five words, of all that either text has.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: Buckets that shingles are counted in, in one of so many texts. The counts only say which shingles count as rare.
-BUCKET_BITS, COUNTED = 20, 16
+#: Buckets that the shingles of all texts are counted in, and slices in which a task hands them on. The counts only say which shingles count as rare.
+BUCKET_BITS, COUNT_SLICES = 18, 64
+#: Bits of the parity bitmap of a set of shingles.
+PARITY_BITS = 1024
+#: Partners of a row, by their distance in a list, that each round of comparisons reaches; the last takes the rest.
+REACH = (4, 32, None)
 #: Rows of the index, and pairs, that are in memory at a time.
-SLICE, PAIRS = 256, 1 << 18
-#: Lists up to this size are verified pair by pair.
-PAIRWISE = 64
+SLICE, PAIRS = 256, 1 << 16
 #: Shingles whose bits are counted at a time.
 STEP = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """SimHash of a whole text: A-Z lower-cased, shingles of ASCII-white-space words with repeats; 0 without words."""
+def _hashed(text: str | None, words: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle of a whole text, in order and with repeats: A-Z lower-cased, words between ASCII white space, one space between them. A text of fewer words is one shingle, one without words has none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     stops = np.cumsum(lengths + 1) - 1
     starts = stops - lengths
     k = min(words, len(tokens))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), stops[k - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), stops[k - 1 :].tolist())], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), STEP):
         bits = np.unpackbits(hashes[i : i + STEP].view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -63,38 +68,44 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
     return sum(1 << b for b in set_bits)
 
 
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """SimHash of a whole text: A-Z lower-cased, shingles of ASCII-white-space words with repeats; 0 without words."""
+    return _majority(_hashed(text, words, seed))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int, prefix=None) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed bigint) and digest (a hash of the text) for each row; with prefix, a function, also size (the number of different shingles) and prefix (what it makes of them)."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed bigint) and digest (a hash of the text) for each row."""
     of = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             fps = [signed(fingerprint(t.as_py(), words, seed)) for t in b.column(1)]
-            more = []
-            if prefix:
-                sets = [shingle_hashes(t.as_py()) for t in b.column(1)]
-                more = [pa.array(map(len, sets), pa.int64()), pa.array([prefix(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2), *more], names=["doc_id", "fp", "digest"] + ["size", "prefix"] * bool(prefix))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2)], names=["doc_id", "fp", "digest"])
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("d")).mapInArrow(run, f"doc_id {of}, fp bigint, digest bigint" + ", size bigint, prefix binary" * bool(prefix))
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("d")).mapInArrow(run, f"doc_id {of}, fp bigint, digest bigint")
 
 
-def shingle_hashes(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
-    """Sorted 64-bit hashes of the different shingles of a text, cut as for fingerprint; none without words."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(tokens)
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    stops = np.cumsum(lengths + 1) - 1
-    starts = stops - lengths
-    k = min(words, len(tokens))
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), stops[k - 1 :].tolist())], np.uint64))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x
+
+
+def shingle_set(threes: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's different shingles of SIMILAR_WORDS words, from the hashes of its shingles of SHINGLE_WORDS in order.
+
+    Five words are the three that start at the first and the three that end at the last: two such
+    shingles are equal if and only if both threes are. A text of four words is one shingle of
+    two threes, a shorter one is its only shingle.
+    """
+    apart = SIMILAR_WORDS - SHINGLE_WORDS
+    if len(threes) <= apart:  # fewer than five words
+        return _mixed(np.array([len(threes)], np.uint64) + threes[:1] + _mixed(threes[-1:])) if len(threes) else threes
+    return np.unique(_mixed(threes[:-apart] + _mixed(threes[apart:] + np.uint64(SIMILAR_WORDS))))
 
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
@@ -102,21 +113,32 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """How often the shingles of each bucket occur in one of COUNTED texts."""
+    """In how many texts, of all, the shingles of each bucket occur: an array of 2 ** BUCKET_BITS numbers, whatever the data."""
+    wide = (1 << BUCKET_BITS) // COUNT_SLICES
 
-    def run(batches):
+    def count(batches):
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
             for t in b.column(0):
-                np.add.at(counts, _buckets(shingle_hashes(t.as_py())), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+                np.add.at(counts, _buckets(shingle_set(_hashed(t.as_py(), SHINGLE_WORDS, SEED))), 1)
+        some = counts.reshape(COUNT_SLICES, wide).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNT_SLICES)), pa.array([x.tobytes() for x in some], pa.binary())], names=["slice", "n"])
 
-    some = docs.select(F.col(text_col).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(COUNTED)) == 0)
-    found = some.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << BUCKET_BITS, np.uint32)
-    counts[found["bucket"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
-    return counts
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, n in zip(b["slice"].to_pylist(), b["n"]):
+                own = total.setdefault(i, np.zeros(wide, np.int64))
+                own += np.frombuffer(n.as_buffer(), np.uint32)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "n"])
+
+    kind = "slice bigint, n binary"
+    parts = docs.select(F.col(text_col).alias("t")).where("t is not null").mapInArrow(count, kind)
+    counts = np.zeros((COUNT_SLICES, wide), np.int64)
+    for r in parts.repartition(COUNT_SLICES, "slice").mapInArrow(add, kind).collect():  # one row for each slice
+        counts[r["slice"]] = np.frombuffer(r["n"], np.int64)
+    return np.minimum(counts.reshape(-1), 2**32 - 1).astype(np.uint32)
 
 
 def rarest(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
@@ -125,15 +147,48 @@ def rarest(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndar
     return hashes[np.argsort(counts[_buckets(hashes)], kind="stable")[:k]]
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap of a set: for each bit whether an odd number of the set's members fall on it. Two sets differ in at least as many members as their bitmaps in bits."""
+    return np.packbits(np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, similarity: float) -> DataFrame:
+    """doc_id, fp, digest as in fingerprints, and size, prefix and parity of each row's set of shingles."""
+    of = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                fps, sizes, prefixes, bitmaps = [], [], [], []
+                for t in b.column(1):
+                    threes = _hashed(t.as_py(), SHINGLE_WORDS, SEED)
+                    mine = shingle_set(threes)
+                    fps.append(signed(_majority(threes)))
+                    sizes.append(len(mine))
+                    prefixes.append(rarest(mine, counts, similarity).tobytes())
+                    bitmaps.append(parity(mine).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(bitmaps, pa.binary())], names=["doc_id", "fp", "digest", "size", "prefix", "parity"])
+
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("d"))
+    return rows.mapInArrow(run, f"doc_id {of}, fp bigint, digest bigint, size bigint, prefix binary, parity binary")
+
+
 def position_masks(bits: int) -> list[int]:
     """For each choice of 8 - bits byte positions, the mask of those bytes."""
     return [sum(0xFF << (8 * p) for p in keep) for keep in combinations(range(8), 8 - bits)]
 
 
-def list_links(values: np.ndarray, mask: int, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the different fingerprints of one list, which agree outside ~mask."""
-    n = len(values)
-    parent = list(range(n))
+def list_links(choice: np.ndarray, place: np.ndarray, fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links within lists: choice says which bytes the fingerprints of a list agree in, place numbers the lists in order.
+
+    Two fingerprints of a list differ in its free bytes alone. They are at most ``bits`` bits apart
+    if and only if they are equal with some ``bits`` of the free bits cleared, so each choice of
+    bits is one sort, of all lists at once; neighbours in it that are equal are linked.
+    """
+    free = np.array([[b for b in range(64) if not mask >> b & 1] for mask in position_masks(bits)])[choice].astype(np.uint64)
+    unsigned, one = fps.view(np.uint64), np.uint64(1)
+    parent = list(range(len(fps)))
 
     def find(i):
         while parent[i] != i:
@@ -142,27 +197,17 @@ def list_links(values: np.ndarray, mask: int, bits: int) -> list[tuple[int, int]
         return i
 
     out = []
-
-    def link(i, j):
-        a, b = find(i), find(j)
-        if a != b:
-            parent[b] = a
-            out.append((int(values[i]), int(values[j])))
-
-    unsigned = values.view(np.uint64)
-    if n <= PAIRWISE:
-        i, j = np.triu_indices(n, 1)
-        near = np.bitwise_count(unsigned[i] ^ unsigned[j]) <= bits
-        for a, b in zip(i[near].tolist(), j[near].tolist()):
-            link(a, b)
-        return out
-    free = [b for b in range(64) if not mask >> b & 1]
-    for clear in combinations(free, bits):
-        cleared = unsigned & ~np.uint64(sum(1 << b for b in clear))
-        order = np.argsort(cleared, kind="stable")
-        same = np.flatnonzero(cleared[order][1:] == cleared[order][:-1])
-        for k in same.tolist():
-            link(int(order[k]), int(order[k + 1]))
+    for clear in combinations(range(8 * bits), bits):
+        cleared = unsigned.copy()
+        for c in clear:
+            cleared &= ~(one << free[:, c])
+        order = np.lexsort((cleared, place))
+        same = np.flatnonzero((cleared[order][1:] == cleared[order][:-1]) & (place[order][1:] == place[order][:-1]))
+        for i, j in zip(order[same].tolist(), order[same + 1].tolist()):
+            a, b = find(i), find(j)
+            if a != b:
+                parent[b] = a
+                out.append((int(fps[i]), int(fps[j])))
     return out
 
 
@@ -172,22 +217,29 @@ def near_links(fps: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     entries = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks))).alias("choice", "bytes"))
     lists = entries.repartition(partitions(fps.sparkSession), "choice", "bytes").sortWithinPartitions("choice", "bytes", "fp")
 
+    def links(choice, key, fp):
+        first = np.append(True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]))
+        place = np.cumsum(first)
+        several = np.bincount(place)[place] > 1
+        found = list_links(choice[several], place[several], fp[several], bits) if several.any() else []
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
     def run(batches):
         held = None  # a list that may go on in the next batch: (choice, bytes, fps)
         for b in batches:
-            choice, key, fp = (b[c].to_numpy() for c in ("choice", "bytes", "fp"))
+            now = [b[c].to_numpy() for c in ("choice", "bytes", "fp")]
             if held is not None:
-                choice, key, fp = (np.concatenate([h, v]) for h, v in zip(held, (choice, key, fp)))
+                now = [np.concatenate(x) for x in zip(held, now)]
+            choice, key, fp = now
             if not len(fp):
                 continue
-            cut = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, stops = np.append(0, cut), np.append(cut, len(fp))
-            held = choice[starts[-1] :], key[starts[-1] :], fp[starts[-1] :]
-            found = [x for i in np.flatnonzero(stops[:-1] - starts[:-1] > 1).tolist() for x in list_links(fp[starts[i] : stops[i]], masks[choice[starts[i]]], bits)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
-        if held is not None and len(held[2]) > 1:
-            found = list_links(held[2], masks[held[0][0]], bits)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            cut = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1]))
+            last = int(cut[-1]) + 1 if len(cut) else 0
+            if last:
+                yield links(choice[:last], key[:last], fp[:last])
+            held = [x[last:] for x in now]
+        if held is not None:
+            yield links(*held)
 
     return lists.mapInArrow(run, "a bigint, b bigint")
 
@@ -216,7 +268,7 @@ def _lists(batches, names: list[str]):
     """The columns of batches sorted by the first of them, cut where it changes: rows of one list are never apart."""
     held = None
     for b in batches:
-        now = [b[c].to_numpy() for c in names]
+        now = [b[c].to_numpy(zero_copy_only=False) for c in names]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now)]
         if not len(now[0]):
@@ -231,6 +283,7 @@ def _lists(batches, names: list[str]):
 
 def prefix_lists(rows: DataFrame) -> DataFrame:
     """key (a shingle), rid, size and at (its place in the prefix) of each row that shares a shingle of its prefix with another row."""
+    low = (1 << 32) - 1
 
     def entries(batches):
         for whole in batches:
@@ -239,18 +292,16 @@ def prefix_lists(rows: DataFrame) -> DataFrame:
                 each = [np.frombuffer(x.as_buffer(), np.int64) for x in b["prefix"]]
                 n = np.fromiter(map(len, each), np.int64, len(each))
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(each), np.repeat(b["rid"].to_numpy(), n), np.repeat(b["size"].to_numpy(), n), at)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(each), np.repeat(b["rid"].to_numpy(), n), np.repeat(b["size"].to_numpy() << 32, n) | at)], names=["key", "rid", "place"])
 
     def shared(batches):
-        for columns in _lists(batches, names):
-            again = columns[0][1:] == columns[0][:-1]
+        for key, rid, place in _lists(batches, ["key", "rid", "place"]):
+            again = key[1:] == key[:-1]
             keep = np.append(again, False) | np.append(False, again)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, rid, place >> 32, place & low)], names=["key", "rid", "size", "at"])
 
-    names = ["key", "rid", "size", "at"]
-    kind = "key bigint, rid bigint, size bigint, at bigint"
-    each = rows.where("size > 0").select("rid", "size", "prefix").mapInArrow(entries, kind)
-    return each.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "rid").mapInArrow(shared, kind)
+    each = rows.where("size > 0").select("rid", "size", "prefix").mapInArrow(entries, "key bigint, rid bigint, place bigint")
+    return each.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "rid").mapInArrow(shared, "key bigint, rid bigint, size bigint, at bigint")
 
 
 def _may_overlap(size, at, i, j, similarity: float) -> np.ndarray:
@@ -260,60 +311,97 @@ def _may_overlap(size, at, i, j, similarity: float) -> np.ndarray:
     return (small >= similarity * large - 1e-6) & (most >= similarity / (1 + similarity) * (small + large) - 1e-6)
 
 
-def candidates(lists: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of rids of the lists (see prefix_lists) that can overlap by similarity and whose rows (column root) are not of one component yet."""
+def _may_agree(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with these parity bitmaps, and these sizes in sum, can overlap by similarity."""
+    differ = np.bitwise_count(one ^ two).sum(1, dtype=np.int64)
+    return differ <= sizes * (1 - similarity) / (1 + similarity) + 1e-6
 
-    def meet(batches):
-        for key, rid, size, at, root in _lists(batches, ["key", "rid", "size", "at", "root"]):
+
+def _bitmaps(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, PARITY_BITS // 64)
+
+
+def plausible(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of rids whose sizes and parity (of rows) allow an overlap by similarity."""
+
+    def run(batches):
+        for b in batches:
+            keep = pa.array(_may_agree(_bitmaps(b["pa"].to_pylist()), _bitmaps(b["pb"].to_pylist()), b["na"].to_numpy() + b["nb"].to_numpy(), similarity))
+            yield pa.RecordBatch.from_arrays([b["a"].filter(keep), b["b"].filter(keep)], names=["a", "b"])
+
+    own = rows.select("rid", "size", "parity")
+    both = pairs.join(own.toDF("a", "na", "pa"), "a").join(own.toDF("b", "nb", "pb"), "b")
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _sorted_lists(lists: DataFrame) -> DataFrame:
+    return lists.repartition(partitions(lists.sparkSession), "key").sortWithinPartitions("key", "rid")
+
+
+def unsettled(lists: DataFrame, from_: int) -> DataFrame:
+    """Those of the lists whose rows have several roots and that reach beyond the partners already compared."""
+
+    def keep(batches):
+        for columns in _lists(batches, _ROOTED):
+            key, root = columns[0], columns[4]
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-            left, apart, found, n = np.flatnonzero(np.repeat(several, np.diff(np.append(starts, len(key))))), 0, [], 0
-            while len(left):
-                apart += 1
-                left = left[: np.searchsorted(left, len(key) - apart)]
-                left = left[key[left] == key[left + apart]]
-                near = left[(root[left] != root[left + apart]) & _may_overlap(size, at, left, left + apart, similarity)]
-                found.append((rid[near], rid[near + apart]))
-                n += len(near)
-                if n >= PAIRS or not len(left):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
-                    found, n = [], 0
+            n = np.diff(np.append(starts, len(key)))
+            some = np.repeat((np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)) & (n > from_ + 1), n)
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in columns], names=_ROOTED)
 
-    sorted_lists = lists.repartition(partitions(lists.sparkSession), "key").sortWithinPartitions("key", "rid")
-    return sorted_lists.mapInArrow(meet, "a bigint, b bigint").distinct()
+    return _sorted_lists(lists).mapInArrow(keep, ", ".join(f"{c} bigint" for c in _ROOTED))
 
 
-def first_candidates(lists: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of each row of a list with the first of the list that it can overlap by similarity: about as many as rows, so a group of near copies is found without all its pairs."""
+_ROOTED = ["key", "rid", "size", "at", "root"]
+
+
+def candidates(lists: DataFrame, similarity: float, from_: int, to: int | None) -> DataFrame:
+    """All pairs (a, b) of rids of different roots, over from_ and up to ``to`` places apart in a list, that can overlap by similarity: by size, place and, where lists have it, parity."""
+    bitmaps = "parity" in lists.columns
 
     def meet(batches):
-        for key, rid, size, at in _lists(batches, ["key", "rid", "size", "at"]):
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            first = np.repeat(starts, np.diff(np.append(starts, len(key))))
-            left, apart = np.arange(len(key)), 0
+        for key, rid, size, at, root, *more in _lists(batches, [*_ROOTED, *["parity"] * bitmaps]):
+            words = _bitmaps(more[0]) if bitmaps else None
+            left, apart, found, n = np.arange(len(key)), from_, [], 0
             while len(left):
-                left = left[first[left] + apart < left]
-                near = _may_overlap(size, at, first[left] + apart, left, similarity)
-                done, left = left[near], left[~near]
-                yield pa.RecordBatch.from_arrays([pa.array(rid[first[done] + apart]), pa.array(rid[done])], names=["a", "b"])
                 apart += 1
+                left = left[: np.searchsorted(left, len(key) - apart)]
+                left = left[key[left] == key[left + apart]] if to is None or apart <= to else left[:0]
+                for i in range(0, len(left), PAIRS):
+                    one = left[i : i + PAIRS]
+                    two = one + apart
+                    near = (root[one] != root[two]) & _may_overlap(size, at, one, two, similarity)
+                    one, two = one[near], two[near]
+                    if bitmaps and len(one):
+                        near = _may_agree(words[one], words[two], size[one] + size[two], similarity)
+                        one, two = one[near], two[near]
+                    found.append((rid[one], rid[two]))
+                    n += len(one)
+                if found and (n >= PAIRS or not len(left)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+                    found, n = [], 0
 
-    sorted_lists = lists.repartition(partitions(lists.sparkSession), "key").sortWithinPartitions("key", "rid")
-    return sorted_lists.mapInArrow(meet, "a bigint, b bigint").distinct()
+    return _sorted_lists(lists).mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, ws: Workspace, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) of rows (rid, doc_id, digest) of docs whose sets of shingles overlap by similarity or more."""
+def shingle_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rid and s, the set of shingles, of those rows (rid, doc_id, digest) of docs whose rid is in a pair (a, b)."""
     wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-    named = rows.join(wanted, F.col("rid") == F.col("w"), "left_semi").select("rid", F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    named = rows.join(wanted, F.col("rid") == F.col("w"), "left_semi").select("rid", F.col("doc_id").alias("own"), F.col("digest").alias("own_digest"))
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("d"))
-    texts = named.join(texts, F.col("i").eqNullSafe(F.col("__id")) & (F.col("d") == F.col("__digest"))).select("rid", "t")
+    texts = named.join(texts, F.col("i").eqNullSafe(F.col("own")) & (F.col("d") == F.col("own_digest"))).select("rid", "t")
 
     def hashed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["rid"], pa.array([shingle_hashes(t.as_py()).tobytes() for t in b["t"]], pa.binary())], names=["rid", "s"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                yield pa.RecordBatch.from_arrays([b["rid"], pa.array([shingle_set(_hashed(t.as_py(), SHINGLE_WORDS, SEED)).tobytes() for t in b["t"]], pa.binary())], names=["rid", "s"])
+
+    return texts.mapInArrow(hashed, "rid bigint, s binary")
 
-    sets = ws.table(texts.mapInArrow(hashed, "rid bigint, s binary").dropDuplicates(["rid"]), "shingles")
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of rids whose sets (rid, s) overlap by similarity or more."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
     def verify(batches):
@@ -333,38 +421,54 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     """doc_id, digest, root for each row of docs: rows with one root are linked, by fingerprints as in simhash_components or by similarity.
 
     Candidates are all pairs that share one of the rarest shingles of both (see rarest), which every similar pair does; each is
-    verified on whole texts. Only pairs that verified links have joined already are left out: first each row is compared with one
-    other of a list, then with all of other components. Rows of one id and one text share a root. Texts without words are linked to each other by their zero fingerprint.
+    verified on whole sets of shingles. Rows of a list are compared in rounds, with the next few, with those further on, then with all the rest (REACH),
+    and after each round the pairs that verified links have joined meanwhile are left out, nothing else: the components are those of all similar pairs. Rows of
+    one text are one row of the lists. Texts without words are linked to each other by their zero fingerprint.
     """
     ws = Workspace(docs.sparkSession, "similar")
-    counts = shingle_counts(docs, text_col)
-    rows = ws.table(fingerprints(docs, id_col, text_col, SHINGLE_WORDS, SEED, lambda s: rarest(s, counts, similarity)).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
+    rows = ws.table(sketches(docs, id_col, text_col, shingle_counts(docs, text_col), similarity).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     firsts = ws.table(rows.groupBy("fp").agg(F.min("rid").alias("first")), "distinct")
     same = rows.join(firsts, "fp").select(F.col("rid").alias("a"), F.col("first").alias("b"))
     near = near_links(firsts.select("fp")).distinct()
     near = near.join(firsts.toDF("a", "ra"), "a").join(firsts.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    lists = ws.table(prefix_lists(rows), "lists")
-    pairs = ws.table(first_candidates(lists, similarity), "first-candidates")
-    similar = verified(pairs, docs, rows, ws, similarity, id_col, text_col)
-    roots = ws.table(components(ws.table(same.unionByName(near).unionByName(similar), "first-links"), ws), "roots")
-    rooted = lists.join(roots, F.col("rid") == F.col("node"), "left").select("key", "rid", "size", "at", F.coalesce("root", "rid").alias("root"))
-    pairs = ws.table(candidates(rooted, similarity), "candidates")
-    similar = verified(pairs, docs, rows, ws, similarity, id_col, text_col)
-    links = ws.table(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar), "all-links")
-    roots = components(links, ws)
+    links = ws.table(same.unionByName(near).where("a <> b"), "fingerprint-links")
+    one = rows.groupBy("fp", "digest").agg(F.min("rid").alias("w")).select("w")
+    several = rows.groupBy("fp", "digest").count().where("count > 1").limit(1).count()
+    listed = rows.join(one, F.col("rid") == F.col("w"), "left_semi") if several else rows
+    lists = ws.table(prefix_lists(listed), "lists")
+    bitmaps = rows.select(F.col("rid").alias("w"), "parity")
+    roots, from_ = ws.table(components(links, ws), "roots"), 0
+    for to in REACH:
+        open_ = lists.select(*_ROOTED[:4]).join(roots, F.col("rid") == F.col("node"), "left").select(*_ROOTED[:4], F.coalesce("root", "rid").alias("root"))
+        if from_:
+            lists = ws.table(unsettled(open_, from_), "unsettled")
+            if not lists.limit(1).count():
+                break
+            open_ = lists.join(bitmaps, F.col("rid") == F.col("w")).select(*_ROOTED, "parity")
+        pairs = ws.table(candidates(open_, similarity, from_, to), "candidates")
+        if not from_:
+            pairs = ws.table(plausible(pairs, rows, similarity), "plausible")
+        if pairs.limit(1).count():
+            sets = ws.table(shingle_sets(docs, rows, pairs, id_col, text_col).dropDuplicates(["rid"]), "sets")
+            found = ws.table(verified(pairs, sets, similarity).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
+            ws.drop(sets)
+            roots = ws.table(components(found, ws), "roots")
+        from_ = to
     return rows.join(roots, F.col("rid") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "rid").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near copies: of each component (see similar_components) the row with the smallest id stays (a null id last; of rows with one id, by a hash of the text)."""
+    """The rows of docs without near copies: of each component (see similar_components) the row with the smallest id stays (a null id last; of rows with one id, by a hash of the text). Columns and values stay as they are, whatever their names."""
     ws = Workspace(docs.sparkSession, "near-copies")
-    rows = ws.table(similar_components(docs, similarity, id_col, text_col), "components")
+    own, doc_id, text = numbered(docs, id_col, text_col)
+    rows = ws.table(similar_components(own, similarity, doc_id, text), "components")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("digest").alias("c"))).alias("best"))
-    best = best.select(F.col("best.b").alias("__id"), F.col("best.c").alias("__digest"))
+    best = best.select(F.col("best.b").alias("best_id"), F.col("best.c").alias("best_digest"))
+    gone = ws.table(rows.select("doc_id", "digest").join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("digest") == F.col("best_digest")), "left_anti"), "gone")
     again = rows.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
-    mine = docs.withColumn("__mine", F.xxhash64(F.col(text_col)))
-    out = mine.join(best, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mine") == F.col("__digest")), "left_semi")
-    return (out.dropDuplicates([id_col, "__mine"]) if again else out).drop("__mine")
+    own = own.withColumn("own_digest", F.xxhash64(F.col(text)))
+    out = own.join(gone, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("own_digest") == F.col("digest")), "left_anti")
+    return named_as(out.dropDuplicates([doc_id, "own_digest"]) if again else out, docs)
 
 
 def op4_simhash_near_dedup(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (local tests) a folder of the driver is made and set.
+    Only where a local session (tests) leaves it unset a folder of the driver is made and set; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="brindle-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -79,6 +82,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple:
+    """docs with its columns called c0, c1 ... by position, so that no name of the user's meets one of an operator's; then the new names of some."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), *(f"c{docs.columns.index(n)}" for n in names)
+
+
+def named_as(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns that numbered() made, under their names in docs."""
+    return out.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -117,9 +117,16 @@ def test_mix(spark, documents, empty):
         assert (r["size"], r.source_size) == (len(words(t)), sizes[s]) and r.target == pytest.approx(want[s]) and 0 <= r.taken <= 2 * r["size"]
         taken[s] += r.taken
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 2 * mixing.BLOCK_WORDS
+        assert abs(taken[s] - want[s]) <= 0.5
     again = {r.doc_id: r.taken for r in mixing.mix_sources(d.repartition(3)).documents.collect()}
     assert again == {i: r.taken for i, r in got.items()}
+    for small in ((10, 10, 10), (300, 300, 300), (1000, 128, 129)):  # sources of less than a few blocks
+        few = spark.createDataFrame([(10 * k + i, "w " * (n // 3 if i < 2 else n - 2 * (n // 3)), "abc"[k]) for k, n in enumerate(small) for i in range(3)], "doc_id bigint, text string, source string")
+        sums = defaultdict(int)
+        for r in (out := mixing.mix_sources(few).documents.collect()):
+            sums[r.source] += r.taken
+            assert r.taken <= 2 * r["size"]
+        assert all(abs(sums[r.source] - r.target) <= 0.5 for r in out)
     # each pass over a source is a permutation of its blocks
     plan = defaultdict(list)
     for r in mix.plan.orderBy("sid", "number").collect():

@@ -9,6 +9,8 @@ import xxhash
 
 from brindle.llm.exact_dedup import drop_copies, exact_dedup
 from brindle.llm.graph import components
+from brindle.llm.langid import filter_languages
+from brindle.llm.mixing import mixed_documents
 from brindle.llm.simhash import drop_near_copies, fingerprint, list_links, near_links, position_masks, signed, simhash_components
 from brindle.llm.suffix_dedup import _classify, _RUNS_SQL, _unpacked, column_classes, dedup_substrings, packed
 from brindle.llm.work import Workspace
@@ -54,6 +56,26 @@ def test_drop_copies(documents, empty):
     assert exact_dedup(empty).count() == 0 and drop_copies(empty).count() == 0
 
 
+CLASHING = ["__mine", "__sha", "__id", "__n", "__run", "c0", "C1", "digest", "runs", "run", "n", "sha", "own", "gone", "n_chars2", "text_sha256", "source_size"]
+
+
+def clashing(documents):
+    """The same rows with more columns, named as operators might name theirs."""
+    from pyspark.sql import functions as F
+
+    return documents.select("*", *(F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHING))
+
+
+@pytest.mark.parametrize("stage", [drop_copies, drop_near_copies, mixed_documents, filter_languages])
+def test_columns_of_any_name_stay(documents, stage):
+    d = clashing(documents)
+    got, plain = stage(d), stage(documents)
+    assert got.columns == d.columns
+    rows = got.collect()
+    assert rows and all(r[c] == c + ("-" if r.doc_id is None else str(r.doc_id)) for r in rows for c in CLASHING)
+    assert Counter(tuple(r)[: len(documents.columns)] for r in rows) == Counter(map(tuple, plain.collect()))
+
+
 def plain_fingerprint(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
@@ -87,7 +109,7 @@ def test_list_links_long_and_short():
     for n in (2, 40, 400):
         fps = sorted({signed(sum(rnd.getrandbits(1) << b for b in free[:11])) for _ in range(n)})
         v = np.array(fps, np.int64)
-        got = list_links(v, mask, 2)
+        got = list_links(np.zeros(len(v), np.int64), np.ones(len(v), np.int64), v, 2)
         at = {x: i for i, x in enumerate(fps)}
         near = [(i, j) for i in range(len(fps)) for j in range(i) if bin((fps[i] ^ fps[j]) & (2**64 - 1)).count("1") <= 2]
         assert union_find(len(fps), near) == union_find(len(fps), [(at[a], at[b]) for a, b in got])
