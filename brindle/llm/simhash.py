@@ -37,7 +37,7 @@ BUCKET_BITS, COUNT_SLICES = 18, 64
 #: Bits of the parity bitmap of a set of shingles.
 PARITY_BITS = 1024
 #: Partners of a row, by their distance in a list, that each round of comparisons reaches; the last takes the rest.
-REACH = (4, 32, None)
+REACH = (6, None)
 #: Rows of the index, and pairs, that are in memory at a time.
 SLICE, PAIRS = 256, 1 << 16
 #: Shingles whose bits are counted at a time.
@@ -421,7 +421,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     """doc_id, digest, root for each row of docs: rows with one root are linked, by fingerprints as in simhash_components or by similarity.
 
     Candidates are all pairs that share one of the rarest shingles of both (see rarest), which every similar pair does; each is
-    verified on whole sets of shingles. Rows of a list are compared in rounds, with the next few, with those further on, then with all the rest (REACH),
+    verified on whole sets of shingles. Rows of a list are compared in rounds, with the next few, then with all the rest (REACH),
     and after each round the pairs that verified links have joined meanwhile are left out, nothing else: the components are those of all similar pairs. Rows of
     one text are one row of the lists. Texts without words are linked to each other by their zero fingerprint.
     """

@@ -131,7 +131,11 @@ def test_near_links_lose_none(spark):
     assert near and union_find(len(fps), near) == union_find(len(fps), got)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 18])
+def test_components(spark, one_task, monkeypatch):
+    import brindle.llm.graph as m
+
+    monkeypatch.setattr(m, "ONE_TASK", one_task)
     rnd = random.Random(4)
     pairs = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 50)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)] + [(5, 5)]
     want = union_find(300, pairs)
