@@ -29,7 +29,7 @@ from brindle.llm.work import Workspace, table
 CAPACITY = 1024
 END_ID = 2
 #: Characters that a worker codes at a time (one text may be longer).
-STEP_CHARS = 1_000_000
+STEP_CHARS = 500_000
 
 
 def _fits(counts: list[int], least: int, most: int) -> int:

@@ -78,7 +78,7 @@ class BatchTokenizer:
     """Ids of texts, each followed by an end id. Strings of special tokens in a text are ordinary text, or with special what the library makes of them by default."""
 
     #: Most distinct pieces remembered at a time.
-    MOST = 2_000_000
+    MOST = 200_000
 
     def __init__(self, path: str, end_id: int, special: bool = False):
         from tokenizers import Tokenizer
