@@ -12,14 +12,17 @@ that cannot share a string with each other. Each 100-byte window has an anchor,
 its 50-byte grams (leftmost on a tie), and equal windows have equal anchors at equal places. A run
 of windows with one anchor is one document of the collection of that gram: some 125 bytes, aligned on the
 anchor, so at most 150 rounds whatever the texts' lengths. Documents of a collection that are the
-same (gram and 64-bit hash of the run) are one document of it, held by its earliest occurrence; its
+same (gram and 64 bits of XXH3 over the run's bytes) are one document of it, held by its earliest occurrence; its
 other occurrences are repeats throughout. A collection with a single document has none.
 
 Exact copies of earlier documents are recognised by their SHA-256 first and take no further part:
 all of a copy is repeats if it has 100 bytes. Files between the stages are Parquet in the shared
 folder, sorted by collection, and are read through in order. A collection that is too large for one
-construction (a gram that a third of all documents hold, each in other surroundings) is
-decided window by window by two 64-bit hashes, combined before the shuffle, instead.
+construction (a gram that a third of all documents hold, each in other surroundings) is split the way
+the corpus was: windows that start up to so many bytes apart before the anchor go together, and
+have to agree in all the bytes that they share around it. A window that starts l bytes before the anchor meets every window
+equal to it in one such part. Parts are constructed like any collection; where one is still too
+large, its windows are dealt singly, and a part is then one string of 100 bytes and its occurrences.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +41,12 @@ LENGTH = 100
 #: Bytes hashed at a time; 2 ** POS_BITS at most.
 STEP_BYTES = 1_000_000
 POS_BITS = 20
-#: Documents of one construction; a larger collection is decided window by window.
+#: Documents of one construction.
 MOST_ROWS = 8_192
-#: Different documents beyond this make a collection a large one, so that no task gets more of one collection.
+#: Different documents beyond this make a collection a large one, which is split, so that no task gets more of one collection.
 LARGE = 2_048
+#: Window starts that go together when a large collection is split.
+SPLIT = 7
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
 OUTSIDE = 256
@@ -143,7 +149,7 @@ def _unpacked(rows: DataFrame) -> DataFrame:
 
 
 #: kind of a run: still open; a repeat throughout; a document of a collection of several; one of a large collection.
-OPEN, REPEAT, COMPARE, HASHED = 0, 1, 2, 3
+OPEN, REPEAT, COMPARE, LARGER = 0, 1, 2, 3
 
 
 def _find_runs(texts: DataFrame, length: int) -> DataFrame:
@@ -156,7 +162,8 @@ def _find_runs(texts: DataFrame, length: int) -> DataFrame:
             if not len(gram):
                 continue
             which = np.searchsorted(ends, first, "right")
-            same = Hashes(data).of(first, last + length, 1) + (anchor - first).astype(np.uint64)
+            raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+            same = np.array([digest(raw[a:z], seed=k) for a, z, k in zip(first.tolist(), (last + length).tolist(), (anchor - first).tolist())], np.uint64)
             order = np.lexsort((same, gram))  # stable: places stay in order
             again = np.concatenate([[False], (gram[order][1:] == gram[order][:-1]) & (same[order][1:] == same[order][:-1])])
             kind = np.zeros(len(gram), np.int32)
@@ -203,7 +210,7 @@ def _classify(runs: DataFrame) -> DataFrame:
             several = place[firsts] > 1
             several[:-1] |= place[firsts[1:]] == 2
             keep = ~opens | ~(new_s & opens)
-            out_kind[firsts] = np.where(place[firsts] > LARGE, HASHED, COMPARE)
+            out_kind[firsts] = np.where(place[firsts] > LARGE, LARGER, COMPARE)
             keep[firsts[several]] = True
             emit_waiting = waiting is not None and len(firsts) and not new_g[firsts[0]] and place[firsts[0]] == 2
             if emit_waiting:
@@ -315,25 +322,40 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
     return in_order.mapInArrow(run, "rid bigint, first bigint, windows bigint")
 
 
-def _hashed(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeats among the documents of large collections: each window by two hashes, its earliest place combined before the shuffle."""
+def _split(contexts: DataFrame, length: int) -> DataFrame:
+    """Runs of large collections as runs of smaller ones: windows that start at similar places before the anchor, under a hash of the bytes that they must share."""
+    digest = xxhash.xxh3_64_intdigest
 
     def run(batches):
         for b in batches:
-            rid, first, h1, h2 = [], [], [], []
+            out = [[] for _ in range(4)]
+            for rid, first, windows, lead, raw in zip(*(b[c].to_pylist() for c in ("rid", "first", "windows", "lead", "raw"))):
+                for k in range((lead - windows + 1) // SPLIT, lead // SPLIT + 1):
+                    low, high = max(k * SPLIT, lead - windows + 1), min(k * SPLIT + SPLIT - 1, lead)
+                    mine = raw[lead - high : lead - low + length]
+                    shared = raw[lead - k * SPLIT : lead - min(k * SPLIT + SPLIT - 1, length - length // 2) + length]
+                    for column, v in zip(out, (digest(shared, seed=k), digest(mine, seed=high), rid, packed(first + lead - high, high - low + 1, high, OPEN))):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[:2]), *(pa.array(c, pa.int64()) for c in out[2:])], schema=_RUNS)
+
+    return contexts.mapInArrow(run, _RUNS_SQL)
+
+
+def _strings(contexts: DataFrame, length: int) -> DataFrame:
+    """Repeats among parts that are still too large: each window by itself, under 128 bits, its earliest place combined before the shuffle."""
+
+    def run(batches):
+        for b in batches:
+            out = [[] for _ in range(3)]
             for r, f, w, raw in zip(*(b[c].to_pylist() for c in ("rid", "first", "windows", "raw"))):
-                at = np.arange(w)
-                h = Hashes(np.frombuffer(raw, np.uint8))
-                h1.append(h.of(at, at + length, 2))
-                h2.append(np.frombuffer(b"".join(hashlib.blake2b(raw[i : i + length], digest_size=8).digest() for i in range(w)), np.uint64))
-                rid.append(np.full(w, r))
-                first.append(f + at)
-            if rid:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rid)), pa.array(np.concatenate(first)), pa.array(np.concatenate(h1).view(np.int64)), pa.array(np.concatenate(h2).view(np.int64))], names=["rid", "first", "h1", "h2"])
+                for i in range(w):
+                    for column, v in zip(out, (r, f + i, hashlib.blake2b(raw[i : i + length], digest_size=16).digest())):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["rid", "first", "h"])
 
-    windows = contexts.mapInArrow(run, "rid bigint, first bigint, h1 bigint, h2 bigint")
-    earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("rid", "first")).alias("low"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "low")
-    return windows.join(earliest, ["h1", "h2"]).where("rid <> low.rid or first <> low.first").select("rid", "first", F.lit(1).cast("bigint").alias("windows"))
+    windows = contexts.mapInArrow(run, "rid bigint, first bigint, h binary")
+    earliest = windows.groupBy("h").agg(F.min(F.struct("rid", "first")).alias("low"), F.count("*").alias("n")).where("n > 1").select("h", "low")
+    return windows.join(earliest, "h").where("rid <> low.rid or first <> low.first").select("rid", "first", F.lit(1).cast("bigint").alias("windows"))
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -397,16 +419,25 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     twice = copies.where("doc_id <=> original").limit(1).count()
     texts = ws.table(texts.dropDuplicates(["rid"]) if twice else texts, "texts")
 
-    found = _unpacked(ws.table(_classify(_find_runs(texts, length)), "runs"))
-    large = found.where(f"kind = {HASHED}").select(F.col("gram").alias("g")).distinct()
-    wanted = found.where(f"kind >= {COMPARE}")
-    repeats = found.where(f"kind = {REPEAT}").select("rid", "first", F.col("windows").cast("bigint").alias("windows"))
-    if large.limit(1).count():
-        large = ws.table(large, "large")
-        hot = wanted.join(large, F.col("gram") == F.col("g"), "left_semi")
-        wanted = wanted.join(large, F.col("gram") == F.col("g"), "left_anti")
-        repeats = repeats.unionByName(ws.table(_hashed(_contexts(texts, hot, length), length), "hashed"))
-    repeats = repeats.unionByName(ws.table(_compare(_contexts(texts, wanted, length), length), "compared"))
+    found, again = _unpacked(ws.table(_classify(_find_runs(texts, length)), "runs")), None
+    for last in (False, True):
+        some = found.where(f"kind = {REPEAT}").select("rid", "first", F.col("windows").cast("bigint").alias("windows"))
+        again = some if again is None else again.unionByName(some)
+        wanted = found.where(f"kind >= {COMPARE}")
+        large = found.where(f"kind = {LARGER}").select(F.col("gram").alias("g")).distinct()
+        several = large.limit(1).count() > 0
+        if several:
+            large = ws.table(large, "large")
+            hot = wanted.join(large, F.col("gram") == F.col("g"), "left_semi")
+            wanted = wanted.join(large, F.col("gram") == F.col("g"), "left_anti")
+        again = again.unionByName(ws.table(_compare(_contexts(texts, wanted, length), length), "compared"))
+        if not several:
+            break
+        if last:
+            again = again.unionByName(ws.table(_strings(_contexts(texts, hot, length), length), "strings"))
+        else:
+            found = _unpacked(ws.table(_classify(_split(_contexts(texts, hot, length), length)), "parts"))
+    repeats = again
     kept = _remove(texts, repeats, length, of)
     gone = F.col("n_bytes") >= length
     whole = copies.select(

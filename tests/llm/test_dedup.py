@@ -217,9 +217,7 @@ def test_substrings_against_brute_force(spark, length, letters, monkeypatch):
     texts += texts[:10] + ["é漢" * length, "é漢" * length + "x", "a" * (5 * length), None, ""]
     raws = [(t or "").encode() for t in texts]
     want = brute_spans(raws, length)
-    for large in (m.LARGE, 1):  # also with collections decided window by window
-        if large == 1 and length == 100:
-            continue
+    for large in (m.LARGE, 4, 1):  # also with collections that are split, once and twice
         monkeypatch.setattr(m, "LARGE", large)
         got = {r.doc_id: r for r in dedup_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), length).collect()}
         for i, (raw, hit) in enumerate(zip(raws, want)):
