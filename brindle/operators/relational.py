@@ -79,16 +79,29 @@ def n_way(*frames: DataFrame, on: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, on), frames)
 
 
+#: Cells of one size that an interval is cut into at most; a wider one goes to cells eight times as wide, and so on.
+RANGE_CELLS = 8
+
+
 def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float, kind: str = "inner") -> DataFrame:
     """Rows of left with their value in [low, high) of a row of right.
 
-    Both sides are cut into cells of a width: a value lies in one, an interval in as many as it
-    meets, and the join is on cells, so no pair outside one cell is looked at.
+    Both sides are cut into cells and the join is on cells, so no pair outside one cell is looked at.
+    Cells come in sizes, the smallest of the given width, each RANGE_CELLS times the one before; an
+    interval takes the smallest size of which it meets about RANGE_CELLS at most, and a value has one cell of
+    each size that some interval took, so a wide interval costs no more rows than a narrow one.
     """
-    cell = lambda c: F.floor(c / F.lit(width)).cast("bigint")
-    spread = right.where(F.col(low) < F.col(high)).withColumn("__cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
-    mine = left.withColumn("__at", cell(F.col(value)))
-    return mine.join(spread, (F.col("__at") == F.col("__cell")) & (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)), JOIN_KINDS[kind]).drop("__at", "__cell")
+    size = F.greatest(F.lit(0), F.ceil(F.log(float(RANGE_CELLS), (F.col(high) - F.col(low)) / F.lit(width * RANGE_CELLS)))).cast("int")
+    wide = lambda n: F.lit(float(width)) * F.pow(F.lit(float(RANGE_CELLS)), n)
+    cell = lambda c, n: F.floor(c / wide(n)).cast("bigint")
+    spread = right.where(F.col(low) < F.col(high)).withColumn("__size", size)
+    sizes = [r[0] for r in spread.select("__size").distinct().collect()]  # a handful: the logarithm of the widest interval
+    spread = spread.withColumn("__cell", F.explode(F.sequence(cell(F.col(low), F.col("__size")), cell(F.col(high), F.col("__size")))))
+    if kind != "inner":
+        raise TypeRefused(f"no range join of kind {kind}")
+    mine = left.withColumn("__size_at", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"))).withColumn("__at", cell(F.col(value), F.col("__size_at")))
+    on = (F.col("__size_at") == F.col("__size")) & (F.col("__at") == F.col("__cell")) & (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))
+    return mine.join(spread, on).drop("__size_at", "__at", "__size", "__cell")
 
 
 def scalar_or_error(df: DataFrame, keys: list[str], right: DataFrame, value: str) -> DataFrame:

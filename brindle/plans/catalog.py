@@ -7,15 +7,19 @@ writes; there are no isolation levels and no grants.
 
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.errors import AlreadyExists, Restricted, SymbolNotFound, TypeRefused
+from brindle.errors import AlreadyExists, Restricted, SymbolNotFound, TypeRefused, UniqueViolation
+from brindle.functions.casts import RANGES, assign, stored
 from brindle.operators import writes
 
+#: The file of a folder that holds its tables' definitions.
+DEFINITIONS = "definitions.json"
 #: DEFAULT functions without arguments.
 TIME_DEFAULTS = {"current_date": F.current_date, "current_timestamp": F.current_timestamp, "localtimestamp": F.localtimestamp}
 
@@ -50,7 +54,7 @@ class TableSpec:
 
     @property
     def schema(self) -> str:
-        return ", ".join(f"`{c.name}` {c.type}" for c in self.columns)
+        return ", ".join(f"`{c.name}` {stored(c.type)}" for c in self.columns)
 
     def column(self, name: str) -> ColumnSpec:
         for c in self.columns:
@@ -60,10 +64,34 @@ class TableSpec:
 
 
 class Database:
-    """A set of tables in a folder."""
+    """A set of tables in a folder. Their definitions are kept there too, and found again by the next Database of the folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.tables = spark, folder.rstrip("/"), {}
+        path, fs = self._file(DEFINITIONS)
+        if fs.exists(path):
+            stream = fs.open(path)
+            try:
+                found = json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+            finally:
+                stream.close()
+            for t in found:
+                columns = [ColumnSpec(**{**c, "identity": c["identity"] and Identity(**c["identity"])}) for c in t.pop("columns")]
+                self.tables[t["name"]] = TableSpec(columns=columns, **t)
+                self.table(t["name"]).createOrReplaceTempView(t["name"])
+
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _keep(self) -> None:
+        """Definitions as they are now, in place of the former."""
+        (path, fs), (new, _) = self._file(DEFINITIONS), self._file(f"{DEFINITIONS}.{uuid.uuid4().hex}")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps([asdict(t) for t in self.tables.values()], default=str).encode()))
+        out.close()
+        fs.delete(path, False)
+        fs.rename(new, path)
 
     # definitions
 
@@ -74,7 +102,7 @@ class Database:
         for c in spec.key:
             spec.column(c).not_null = True
         for c in columns:
-            if c.identity and c.type not in ("tinyint", "smallint", "int", "bigint"):
+            if c.identity and stored(c.type) not in RANGES:
                 raise TypeRefused(f"an identity of type {c.type}")
             if isinstance(c.default, str) and c.default.endswith("()") and c.default[:-2] not in TIME_DEFAULTS:
                 raise SymbolNotFound(c.default)
@@ -82,11 +110,13 @@ class Database:
                 spec.next_identity[c.name] = c.identity.start
         self.tables[name] = spec
         self.table(name).createOrReplaceTempView(name)
+        self._keep()
 
     def drop_table(self, name: str, if_exists: bool = False) -> None:
         if self.tables.pop(name, None) is None and not if_exists:
             raise SymbolNotFound(name)
         self.spark.catalog.dropTempView(name)
+        self._keep()
 
     def create_index(self, table: str, name: str, columns: list[str]) -> None:
         """Kept as a definition: files are pruned by their statistics instead. Only on an empty table."""
@@ -96,11 +126,12 @@ class Database:
         if self.table(table).limit(1).count():
             raise Restricted("the table is not empty")
         spec.indexes[name] = [spec.column(c).name for c in columns]
+        self._keep()
 
     def drop_index(self, name: str) -> None:
         for t in self.tables.values():
             if t.indexes.pop(name, None):
-                return
+                return self._keep()
         raise SymbolNotFound(name)
 
     def list_tables(self) -> list[str]:
@@ -122,11 +153,27 @@ class Database:
         spec = self._spec(name)
         return self.spark.read.schema(spec.schema).parquet(spec.path) if spec.path else self.spark.createDataFrame([], spec.schema)
 
-    def _store(self, name: str, content: DataFrame) -> DataFrame:
-        spec = self.tables[name]
-        path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+    def _written(self, spec: TableSpec, content: DataFrame, what: str = "") -> tuple[DataFrame, str]:
+        """content, evaluated once and read back."""
+        path = f"{self.folder}/{spec.name}/{uuid.uuid4().hex}{what}"
         content.write.parquet(path)
+        return self.spark.read.schema(content.schema).parquet(path), path
+
+    def _store(self, name: str, content: DataFrame, key: list[str] | None = None, checked: bool = False) -> DataFrame:
+        """Write a new version, look at what was written, then point to it. A version that is refused is removed."""
+        spec = self.tables[name]
+        out, path = self._written(spec, content)
+        try:
+            if not checked:
+                writes.check_not_null(out, [c.name for c in spec.columns if c.not_null])
+            if key and out.groupBy(*key).count().where("count > 1").limit(1).count():
+                raise UniqueViolation(", ".join(key))
+        except Exception:
+            where, fs = self._file(path[len(self.folder) + 1 :])
+            fs.delete(where, True)
+            raise
         spec.path = path
+        self._keep()
         out = self.table(name)
         out.createOrReplaceTempView(name)
         return out
@@ -139,31 +186,36 @@ class Database:
         out = rows
         for c in spec.columns:
             if c.name in rows.columns:
-                out = out.withColumn(c.name, F.col(c.name).cast(c.type))
+                source = rows.schema[c.name].dataType.simpleString()
+                try:
+                    out = out.withColumn(c.name, assign(F.col(c.name), source, c.type))
+                except TypeError as e:
+                    raise TypeRefused(f"{c.name}: {e}") from e
             elif c.identity:
                 # numbered by partition: distinct, and dense within one
                 out = self._numbered(spec, out, c)
             elif isinstance(c.default, str) and c.default.endswith("()"):
                 value = TIME_DEFAULTS[c.default[:-2]]()
                 out = out.withColumn(c.name, value)
-                if out.schema[c.name].dataType.simpleString() != c.type:
+                if out.schema[c.name].dataType.simpleString() != stored(c.type):
                     raise TypeRefused(f"the default of {c.name} is not {c.type}")
             else:
-                out = out.withColumn(c.name, F.lit(c.default).cast(c.type))
-        return writes.check_not_null(out.select(*(c.name for c in spec.columns)), [c.name for c in spec.columns if c.not_null])
+                out = out.withColumn(c.name, F.lit(c.default).cast(stored(c.type)))
+        filled, path = self._written(spec, out.select(*(c.name for c in spec.columns)), "-rows")
+        return writes.check_not_null(filled, [c.name for c in spec.columns if c.not_null])
 
     def _numbered(self, spec: TableSpec, rows: DataFrame, c: ColumnSpec) -> DataFrame:
         path = f"{self.folder}/{spec.name}/{uuid.uuid4().hex}-numbered"
         rows.withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
-        stored = self.spark.read.parquet(path)
+        kept = self.spark.read.parquet(path)
         from pyspark.sql import Window
 
         part = F.shiftright("__at", 33)
-        sizes = stored.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+        sizes = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
         before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"))
         start, step = spec.next_identity[c.name], c.identity.increment
-        out = stored.withColumn("__part", part).join(before, "__part").withColumn(c.name, (F.lit(start) + (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))) * step).cast(c.type))
-        spec.next_identity[c.name] = start + step * stored.count()
+        out = kept.withColumn("__part", part).join(before, "__part").withColumn(c.name, (F.lit(start) + (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))) * step).cast(stored(c.type)))
+        spec.next_identity[c.name] = start + step * kept.count()
         return out.drop("__at", "__part", "__n", "__before")
 
     def insert(self, name: str, rows: DataFrame, mode: str = "", order: list[Column] | None = None) -> DataFrame:
@@ -179,12 +231,12 @@ class Database:
             new = writes.insert_or_replace(old, rows, spec.key, order)
         else:
             raise TypeRefused(mode)
-        return self._store(name, new)
+        return self._store(name, new, checked=True)
 
     def insert_values(self, name: str, rows: list[tuple], columns: list[str] | None = None, mode: str = "") -> DataFrame:
         spec = self._spec(name)
         names = columns or [c.name for c in spec.columns if not (c.identity and c.identity.always)]
-        schema = ", ".join(f"`{n}` {spec.column(n).type}" for n in names)
+        schema = ", ".join(f"`{n}` {stored(spec.column(n).type)}" for n in names)
         return self.insert(name, self.spark.createDataFrame(rows, schema), mode)
 
     def update(self, name: str, condition: Column, **assignments: Column) -> DataFrame:
@@ -192,11 +244,11 @@ class Database:
         for c in assignments:
             if (found := spec.column(c)).identity and found.identity.always:
                 raise Restricted(f"{c} is GENERATED ALWAYS")
-        new = writes.update(self.table(name), condition, spec.key, **assignments)
-        return self._store(name, writes.check_not_null(new, [c.name for c in spec.columns if c.not_null]))
+        new = writes.update(self.table(name), condition, None, {c.name: c.type for c in spec.columns}, **assignments)
+        return self._store(name, new, spec.key if set(spec.key) & set(assignments) else None)
 
     def delete(self, name: str, condition: Column) -> DataFrame:
-        return self._store(name, writes.delete(self.table(name), condition))
+        return self._store(name, writes.delete(self.table(name), condition), checked=True)
 
     def truncate(self, name: str, restart_identity: bool = False) -> None:
         spec = self._spec(name)
@@ -204,3 +256,4 @@ class Database:
         if restart_identity:
             spec.next_identity = {c.name: c.identity.start for c in spec.columns if c.identity}
         self.table(name).createOrReplaceTempView(name)
+        self._keep()
