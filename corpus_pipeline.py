@@ -41,7 +41,7 @@ def pack(spark, docs, sf_dir):
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_near_dedup", near), ("source_mixing", mix), ("best_fit_packing", pack)]
 
-#: Language vectors, permutations and packing are not SQL; tests hold run() against a plain version.
+#: Language vectors and packing are not SQL; tests hold each stage against brute force, and run() against the stages one by one.
 ORACLE_SQL = None
 
 
