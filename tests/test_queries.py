@@ -42,10 +42,10 @@ def test_whole_table_queries_leave_out_no_keys(spark):
         return spark.read.parquet(f"{SF}/{name}.parquet")
 
     customers, suppliers = rows("customer"), rows("supplier")
-    assert QUERIES["union_all_whole"](spark, SF).count() == customers.count() + suppliers.count()
-    joined = QUERIES["join_nway_whole"](spark, SF)
+    assert QUERIES["union_all"](spark, SF).count() == customers.count() + suppliers.count()
+    joined = QUERIES["join_nway"](spark, SF)
     near = customers.join(suppliers, customers.c_nationkey == suppliers.s_nationkey)
     assert joined.count() == near.count() and joined.select("c").distinct().count() == near.select("c_custkey").distinct().count()
-    assert QUERIES["tpcc_payment_totals_whole"](spark, SF).count() == rows("orders").select("o_custkey").distinct().count()
-    assert 0 < QUERIES["except_distinct_whole"](spark, SF).count() < QUERIES["union_distinct_whole"](spark, SF).count()
-    assert QUERIES["intersect_distinct_whole"](spark, SF).count() > 0
+    assert QUERIES["tpcc_payment_totals"](spark, SF).count() == rows("orders").select("o_custkey").distinct().count()
+    assert 0 < QUERIES["except_distinct"](spark, SF).count() < QUERIES["union_distinct"](spark, SF).count()
+    assert QUERIES["intersect_distinct"](spark, SF).count() > 0
