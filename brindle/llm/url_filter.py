@@ -81,15 +81,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
 
     lows = [c[0] for c in cuts]
 
-    @F.udf("array<int>")
-    def parts_met(low):
-        """The ranges that the interval of this key meets: from the one of its first key to that of its last."""
-        low = low.encode()
-        high = low[:-1] + b"0"
-        return list(range(bisect_left(lows, low), bisect_left(lows, high) + 1))
+    def parts_met(batches):
+        """Each rule once for each range that the interval of its key meets: from the one of its first key to that of its last."""
+        for b in batches:
+            keys = [k.encode() for k in b["key"].to_pylist()]
+            met = [range(bisect_left(lows, k), bisect_left(lows, k[:-1] + b"0") + 1) for k in keys]
+            again = b.take(pa.array([i for i, m in enumerate(met) for _ in m], pa.int64()))
+            yield again.append_column("part", pa.array([p for m in met for p in m], pa.int32()))
 
     ruled = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict").where("rule_host is not null and rule_path is not null and verdict is not null")
-    ruled = ruled.withColumn("rule_host", ascii_lower(F.col("rule_host"))).distinct().withColumn("key", host_key(F.col("rule_host"))).withColumn("part", F.explode(parts_met("key")))
+    ruled = ruled.withColumn("rule_host", ascii_lower(F.col("rule_host"))).distinct().withColumn("key", host_key(F.col("rule_host")))
+    ruled = ruled.mapInArrow(parts_met, "rule_host string, rule_path string, verdict string, key string, part int")
 
     both = lanes.select("part", "key", F.lit(1).alias("kind"), "path", "tie", "page_id", "host", F.lit(None).cast("string").alias("verdict")).unionByName(
         ruled.select("part", "key", F.lit(0).alias("kind"), F.col("rule_path").alias("path"), F.lit(0).cast("bigint").alias("tie"), F.lit(None).cast(schema.split(",")[0].split(" ", 1)[1]).alias("page_id"), F.col("rule_host").alias("host"), "verdict")
