@@ -2,7 +2,7 @@
 
 The graph has each distinct vector as a node; rows with equal vectors are members of one node, so a
 group of copies neither crowds neighbour lists nor loses anybody: a node's smallest ids are put
-back into answers, as many as an answer can hold.
+back into answers, as many as an answer can hold. Vectors of each length have a graph of their own.
 
 Start: nodes fall into cells by the signs of random projections, several times over; crowded cells
 are split at random, and within a cell all are compared. Rounds: every node introduces its
@@ -17,6 +17,8 @@ round, until the whole beam is open.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,7 +39,6 @@ MOST_ROUNDS = 8
 #: The rounds stop when fewer than this share of all neighbours are new.
 STILL = 0.02
 BEAM = 160
-MOST_HOPS = 12
 SEED = 31
 #: Parts into which a hub's list is split before it is cut to its bound.
 SALTS = 64
@@ -120,16 +121,14 @@ _PAIRS = "node bigint, nbr bigint, sim float"
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, vector for each id with a usable vector: of the commonest length, not zero, without null or non-finite components; of an id's vectors the first in order."""
+    """rid (one for each row), vec_id, vector: the rows with an id and a usable vector: not null or zero, without null or non-finite components. Rows that repeat an id are rows of their own."""
     v = F.col(vector_col).cast("array<double>")
     good = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0))
-    good = good.groupBy(F.col(id_col).cast("bigint").alias("vec_id")).agg(F.min(vector_col).alias("vector"))
-    size = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.where(F.size("vector") == (size["n"] if size else 0))
+    return good.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("vector"))
 
 
 class Graph:
-    """nodes: node, vector, vec (half-precision unit vector). members: node, vec_id (the smallest ids). links: node, nbr, sim."""
+    """Of vectors of one length. nodes: node, low (its smallest id), vector, vec (half-precision unit vector). ids: rid, vec_id, node. members: the rows of ids with the smallest ids of each node. links: node, nbr, sim."""
 
     def __init__(self, ws: Workspace, nodes: DataFrame, members: DataFrame, ids: DataFrame, links: DataFrame):
         self.ws, self.nodes, self.members, self.ids, self.links = ws, nodes, members, ids, links
@@ -141,9 +140,9 @@ def _halves(rows: DataFrame) -> DataFrame:
             v = np.array(b["vector"].to_pylist(), np.float64).reshape(b.num_rows, -1)
             v = v / np.abs(v).max(1, keepdims=True) if b.num_rows else v
             v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float16) if b.num_rows else v
-            yield pa.RecordBatch.from_arrays([b["node"], b["vector"], pa.array([x.tobytes() for x in v], pa.binary())], names=["node", "vector", "vec"])
+            yield pa.RecordBatch.from_arrays([b["node"], b["low"], b["vector"], pa.array([x.tobytes() for x in v], pa.binary())], names=["node", "low", "vector", "vec"])
 
-    return rows.mapInArrow(run, f"node bigint, vector {rows.schema['vector'].dataType.simpleString()}, vec binary")
+    return rows.select("node", "low", "vector").mapInArrow(run, f"node bigint, low bigint, vector {rows.schema['vector'].dataType.simpleString()}, vec binary")
 
 
 def _start(nodes: DataFrame, n_nodes: int, degree: int, seed: int) -> DataFrame:
@@ -181,15 +180,20 @@ def _lists(links: DataFrame, degree: int, salt: int) -> DataFrame:
     return links.select(F.col("node").alias("center"), F.col("nbr").alias("node"), "fresh").unionByName(back).groupBy("center", "node").agg(F.max("fresh").alias("fresh"))
 
 
-def build_graph(rows: DataFrame, degree: int = DEGREE, k: int = K, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding") -> Graph:
-    """The neighbour graph of all usable rows (see usable)."""
-    spark = rows.sparkSession
-    ws = Workspace(spark, "nn-descent")
+def build_graphs(rows: DataFrame, degree: int = DEGREE, k: int = K, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding") -> list[Graph]:
+    """A neighbour graph of the usable rows (see usable) of each length that vectors have, short ones first; at least one, which may be empty. Vectors of two lengths have no cosine."""
+    ws = Workspace(rows.sparkSession, "nn-descent")
     ids = ws.table(usable(rows, id_col, vector_col), "usable")
-    firsts = ids.groupBy("vector").agg(F.min("vec_id").alias("node"))
+    lengths = sorted(r[0] for r in ids.select(F.size("vector")).distinct().collect())  # a number for each kind of vector
+    return [_graph(ws, ids.where(F.size("vector") == n), degree, k, seed) for n in lengths or [0]]
+
+
+def _graph(ws: Workspace, ids: DataFrame, degree: int, k: int, seed: int) -> Graph:
+    spark = ws.spark
+    firsts = ids.groupBy("vector").agg(F.min("rid").alias("node"), F.min("vec_id").alias("low"))
     nodes = ws.table(_halves(firsts), "nodes")
-    ids = ws.table(ids.join(nodes.select("vector", "node"), "vector").select("vec_id", "node"), "ids")
-    members = ws.table(_top(ids, "node", ["vec_id"], k + 1), "members")
+    ids = ws.table(ids.join(nodes.select("vector", "node"), "vector").select("rid", "vec_id", "node"), "ids")
+    members = ws.table(_top(ids, "node", ["vec_id", "rid"], k + 1), "members")
     n_nodes = nodes.count()
     links = ws.table(_merged(None, ws.table(_start(nodes, n_nodes, degree, seed), "start"), degree), "links")
     vecs = nodes.select(F.col("node").alias("v"), "vec")
@@ -208,12 +212,16 @@ def build_graph(rows: DataFrame, degree: int = DEGREE, k: int = K, seed: int = S
 
 
 def search(graph: Graph, queries: DataFrame, k: int = K, beam: int = BEAM) -> DataFrame:
-    """query_id, rank, vec_id, score for each query_id in queries, whose node the query starts from; the query's own row is no answer."""
+    """query_id, rank, vec_id, score for each query_id in queries that the graph has.
+
+    A query starts from the node of its row; its own row is no answer, others with its id may be. An id that several rows have is a query for each of them, with ranks from 1 for each.
+    The search ends when no beam has an unopened node: a beam only gets nearer, so no node comes twice.
+    """
     ws, spark = graph.ws, graph.ws.spark
     n = partitions(spark)
     vecs = graph.nodes.select(F.col("node").alias("v"), "vec")
     lists = ws.table(_lists(graph.links.withColumn("fresh", F.lit(True)), 2 * DEGREE, SEED).select("center", "node"), "adjacency")
-    starts = ws.table(queries.join(graph.ids, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("node").alias("own")), "starts")
+    starts = ws.table(queries.select("query_id").distinct().join(graph.ids, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("rid").alias("query_rid"), F.col("node").alias("own")), "starts")
     # one search for each node that has queries
     state = ws.table(starts.select("own").distinct().select("own", F.col("own").alias("node"), F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("opened")), "beam")
 
@@ -230,7 +238,7 @@ def search(graph: Graph, queries: DataFrame, k: int = K, beam: int = BEAM) -> Da
                 c = np.flatnonzero(kinds == 2)
                 if len(c) and len(q):
                     query = _vectors(vec.slice(lo + int(q[0]), 1))
-                    sim[lo + c] = _vectors(vec.take(pa.array(lo + c))).reshape(len(c), -1) @ query
+                    sim[lo + c] = (_vectors(vec.take(pa.array(lo + c))).reshape(len(c), -1) * query).sum(1)  # the same sum whatever stands beside it
                 held = np.flatnonzero(kinds > 0) + lo
                 order = held[np.lexsort((node[held], ~opened[held].astype(bool)))]  # what was opened stays so
                 order = order[np.concatenate([[True], node[order][1:] != node[order][:-1]])]
@@ -241,7 +249,7 @@ def search(graph: Graph, queries: DataFrame, k: int = K, beam: int = BEAM) -> Da
 
     none = F.lit(None)
     own_vec = ws.table(state.join(vecs, F.col("own") == F.col("v")).select("own", F.lit(0).alias("kind"), F.col("own").alias("node"), none.cast("float").alias("sim"), F.lit(False).alias("opened"), "vec"), "query-vectors")
-    for _ in range(MOST_HOPS):
+    while True:
         frontier = state.where("not opened").select("own", F.col("node").alias("center"))
         found = frontier.join(lists, "center").select("own", "node").distinct().join(state.select("own", "node"), ["own", "node"], "left_anti")
         found = found.join(vecs, F.col("node") == F.col("v")).select("own", F.lit(2).alias("kind"), "node", none.cast("float").alias("sim"), F.lit(False).alias("opened"), "vec")
@@ -253,23 +261,27 @@ def search(graph: Graph, queries: DataFrame, k: int = K, beam: int = BEAM) -> Da
         if not state.where("not opened").limit(1).count():
             break
 
-    exact = state.join(graph.nodes.select("node", F.col("vector").alias("cv")), "node").join(graph.nodes.select(F.col("node").alias("own"), F.col("vector").alias("qv")), "own")
+    exact = state.join(graph.nodes.select("node", "low", F.col("vector").alias("cv")), "node").join(graph.nodes.select(F.col("node").alias("own"), F.col("vector").alias("qv")), "own")
 
     def score(batches):
         for b in batches:
             q, c = (np.array(b[x].to_pylist(), np.float64).reshape(b.num_rows, -1) for x in ("qv", "cv"))
             s = np.einsum("ij,ij->i", q, c) / (np.sqrt(np.einsum("ij,ij->i", q, q)) * np.sqrt(np.einsum("ij,ij->i", c, c)))
-            yield pa.RecordBatch.from_arrays([b["own"], b["node"], pa.array(s)], names=["own", "node", "score"])
+            yield pa.RecordBatch.from_arrays([b["own"], b["node"], b["low"], pa.array(s)], names=["own", "node", "low", "score"])
 
-    exact = exact.select("own", "node", "qv", "cv").mapInArrow(score, "own bigint, node bigint, score double")
-    best = exact.withColumn("r", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "node"))).where(f"r <= {k + 1}").drop("r")
-    best = ws.table(best.join(graph.members, "node").select("own", "vec_id", "score").withColumn("r", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id"))).where(f"r <= {k + 1}").drop("r"), "best")
-    answers = starts.join(best, "own").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    exact = exact.select("own", "node", "low", "qv", "cv").mapInArrow(score, "own bigint, node bigint, low bigint, score double")
+    best = exact.withColumn("r", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "low", "node"))).where(f"r <= {k + 1}").drop("r")
+    best = ws.table(best.join(graph.members, "node").select("own", "rid", "vec_id", "score").withColumn("r", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "rid"))).where(f"r <= {k + 1}").drop("r"), "best")
+    answers = starts.join(best, "own").where("rid <> query_rid")
+    rank = F.row_number().over(Window.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id", "rid"))
     return answers.select("query_id", rank.alias("rank"), "vec_id", "score").where(f"rank <= {k}")
 
 
+def nearest(rows: DataFrame, every: int = QUERY_EVERY, k: int = K, beam: int = BEAM, **options) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each usable row whose id is divisible by ``every``, among all rows of its length. Further columns are ignored; an empty table gives an empty result."""
+    found = [search(g, g.ids.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id")), k, beam) for g in build_graphs(rows, k=k, **options)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def op7_nn_descent(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    graph = build_graph(rows)
-    return search(graph, graph.ids.where(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("query_id")))
+    return nearest(table(spark, sf_dir, "embeddings"))

@@ -357,10 +357,9 @@ def test_nn_descent(spark):
     centers = rnd.standard_normal((6, 16))
     v = [(centers[i % 6] + 0.5 * rnd.standard_normal(16)).astype(np.float32).tolist() for i in range(1500)]
     v[100:140] = [v[50]] * 40  # copies of a query
-    rows = [(i, x, 0) for i, x in enumerate(v)] + [(2000, None, 0), (2050, [0.0] * 16, 0), (2100, [None] * 16, 0), (2150, [float("nan")] * 16, 0), (2200, [1.0] * 3, 0), (None, v[3], 0), (7, v[7], 1)]
-    graph = nn_descent.build_graph(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"))
+    rows = [(i, x, 0) for i, x in enumerate(v)] + [(2000, None, 0), (2050, [0.0] * 16, 0), (2100, [None] * 16, 0), (2150, [float("nan")] * 16, 0), (2200, [1.0] * 3, 0), (None, v[3], 0), (2400, [1.0, 2.0], 0)]
     got = defaultdict(list)
-    for r in nn_descent.search(graph, graph.ids.where("vec_id % 50 = 0").selectExpr("vec_id as query_id")).orderBy("query_id", "rank").collect():
+    for r in nn_descent.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, rid int")).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     m = np.array(v, np.float64)
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
@@ -378,11 +377,12 @@ def test_nn_descent(spark):
 
 
 def test_nn_descent_of_few(spark):
-    for rows in ([], [(0, [1.0, 0.0])], [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [2.0, 0.0])]):
-        graph = nn_descent.build_graph(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
-        got = nn_descent.search(graph, graph.ids.where("vec_id % 50 = 0").selectExpr("vec_id as query_id")).collect()
-        want = {(q, i) for q, _ in rows if q % 50 == 0 for i, _ in rows if i != q}
-        assert {(r.query_id, r.vec_id) for r in got} == want
+    few = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [2.0, 0.0])]
+    # ids that rows repeat, with one vector and with others, and vectors of other lengths
+    for rows in ([], few[:1], few, [*few, few[0], (0, [1.0, 1.0])], [*few, (50, [1.0, 2.0, 3.0]), (51, [0.0, 1.0, 0.0]), (3, [5.0])]):
+        got = nn_descent.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+        want = Counter((q, i) for a, (q, x) in enumerate(rows) if q % 50 == 0 for b, (i, y) in enumerate(rows) if a != b and len(x) == len(y))
+        assert Counter((r.query_id, r.vec_id) for r in got) == want
 
 
 # the pipeline
