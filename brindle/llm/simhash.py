@@ -38,6 +38,8 @@ BUCKET_BITS, COUNT_SLICES = 18, 64
 PARITY_BITS = 1024
 #: Partners of a row, by their distance in a list, that each round of comparisons reaches; the last takes the rest.
 REACH = (6, None)
+#: Rows of a block of a list. A list of more rows is dealt to blocks by a hash of the row, and each pair of blocks is a group that any task can compare.
+BLOCK = 512
 #: Rows of the index, and pairs, that are in memory at a time.
 SLICE, PAIRS = 256, 1 << 16
 #: Shingles whose bits are counted at a time.
@@ -264,8 +266,8 @@ def simhash_components(docs: DataFrame, bits: int = MOST_BITS, words: int = SHIN
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "digest")
 
 
-def _lists(batches, names: list[str]):
-    """The columns of batches sorted by the first of them, cut where it changes: rows of one list are never apart."""
+def _lists(batches, names: list[str], by: int):
+    """The columns of batches sorted by the first ``by`` of them, cut where those change: rows of one list are never apart."""
     held = None
     for b in batches:
         now = [b[c].to_numpy(zero_copy_only=False) for c in names]
@@ -273,7 +275,8 @@ def _lists(batches, names: list[str]):
             now = [np.concatenate(x) for x in zip(held, now)]
         if not len(now[0]):
             continue
-        cut = int(np.searchsorted(now[0], now[0][-1]))
+        others = np.flatnonzero(np.any([x != x[-1] for x in now[:by]], axis=0))
+        cut = int(others[-1]) + 1 if len(others) else 0
         if cut:
             yield [x[:cut] for x in now]
         held = [x[cut:] for x in now]
@@ -282,7 +285,10 @@ def _lists(batches, names: list[str]):
 
 
 def prefix_lists(rows: DataFrame) -> DataFrame:
-    """key (a shingle), rid, size and at (its place in the prefix) of each row that shares a shingle of its prefix with another row."""
+    """key (a shingle), rid, size and at (its place in the prefix) of each row that shares a shingle of its prefix with another row, and of two further rows a partition at most.
+
+    Entries are in ranges of (key, rid), so a shingle that a third of all rows share is in many; no task holds a list.
+    """
     low = (1 << 32) - 1
 
     def entries(batches):
@@ -295,13 +301,32 @@ def prefix_lists(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(each), np.repeat(b["rid"].to_numpy(), n), np.repeat(b["size"].to_numpy() << 32, n) | at)], names=["key", "rid", "place"])
 
     def shared(batches):
-        for key, rid, place in _lists(batches, ["key", "rid", "place"]):
-            again = key[1:] == key[:-1]
-            keep = np.append(again, False) | np.append(False, again)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, rid, place >> 32, place & low)], names=["key", "rid", "size", "at"])
+        def out(columns, keep):
+            key, rid, place = (x[keep] for x in columns)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rid, place >> 32, place & low)], names=["key", "rid", "size", "at"])
+
+        held, stays = None, True  # the last row, and whether the one before has its key; the ends of a range stay, as lists may go on beyond them
+        for b in batches:
+            now = [b[c].to_numpy() for c in ("key", "rid", "place")]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            if not len(now[0]):
+                continue
+            again = now[0][1:] == now[0][:-1]
+            keep = np.append(stays, again)
+            keep[:-1] |= again
+            yield out([x[:-1] for x in now], keep[:-1])
+            held, stays = [x[-1:] for x in now], keep[-1]
+        if held is not None:
+            yield out(held, [True])
 
     each = rows.where("size > 0").select("rid", "size", "prefix").mapInArrow(entries, "key bigint, rid bigint, place bigint")
-    return each.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "rid").mapInArrow(shared, "key bigint, rid bigint, size bigint, at bigint")
+    return each.repartitionByRange(partitions(rows.sparkSession), "key", "rid").sortWithinPartitions("key", "rid").mapInArrow(shared, "key bigint, rid bigint, size bigint, at bigint")
+
+
+def long_lists(lists: DataFrame) -> DataFrame:
+    """long (a key) and blocks of each list of more than BLOCK rows."""
+    return lists.groupBy("key").count().where(f"count > {BLOCK}").select(F.col("key").alias("long"), F.expr(f"(count + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
 
 
 def _may_overlap(size, at, i, j, similarity: float) -> np.ndarray:
@@ -334,54 +359,50 @@ def plausible(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _sorted_lists(lists: DataFrame) -> DataFrame:
-    return lists.repartition(partitions(lists.sparkSession), "key").sortWithinPartitions("key", "rid")
-
-
 def unsettled(lists: DataFrame, from_: int) -> DataFrame:
-    """Those of the lists whose rows have several roots and that reach beyond the partners already compared."""
-
-    def keep(batches):
-        for columns in _lists(batches, _ROOTED):
-            key, root = columns[0], columns[4]
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            n = np.diff(np.append(starts, len(key)))
-            some = np.repeat((np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)) & (n > from_ + 1), n)
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in columns], names=_ROOTED)
-
-    return _sorted_lists(lists).mapInArrow(keep, ", ".join(f"{c} bigint" for c in _ROOTED))
-
-
-_ROOTED = ["key", "rid", "size", "at", "root"]
+    """open: the keys of those lists whose rows have several roots and that reach beyond the partners already compared."""
+    ends = lists.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    return ends.where(f"low <> high and n > {from_ + 1}").select(F.col("key").alias("open"))
 
 
 def candidates(lists: DataFrame, similarity: float, from_: int, to: int | None) -> DataFrame:
-    """All pairs (a, b) of rids of different roots, over from_ and up to ``to`` places apart in a list, that can overlap by similarity: by size, place and, where lists have it, parity."""
+    """Pairs (a, b) of rids of different roots, that can overlap by similarity: by size, place and, where lists have it, parity.
+
+    lists has key, rid, size, at, root, blocks. With ``to``, of each block of a list the rows up to ``to`` places apart; without, all pairs of
+    a list but those up to from_ places apart in one block. In the group of blocks (i, j) rows of i meet rows of j, in (i, i) all meet.
+    """
     bitmaps = "parity" in lists.columns
+    names = ["key", "pair", "rid", "size", "at", "root", "side", *["parity"] * bitmaps]
+    own = F.pmod(F.xxhash64("rid"), F.col("blocks"))
+    groups = lists.withColumn("own", own).withColumn("other", F.col("own") if to is not None else F.explode(F.expr("sequence(0L, blocks - 1)")))
+    groups = groups.withColumn("pair", F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).withColumn("side", F.signum(F.col("other") - F.col("own")).cast("bigint"))
+    groups = groups.select(*names).repartition(partitions(lists.sparkSession), "key", "pair").sortWithinPartitions("key", "pair", "rid")
 
     def meet(batches):
-        for key, rid, size, at, root, *more in _lists(batches, [*_ROOTED, *["parity"] * bitmaps]):
+        for key, pair, rid, size, at, root, side, *more in _lists(batches, names, 2):
             words = _bitmaps(more[0]) if bitmaps else None
-            left, apart, found, n = np.arange(len(key)), from_, [], 0
+            left, apart, found, n = np.arange(len(key)), 0 if side.any() else from_, [], 0
             while len(left):
                 apart += 1
                 left = left[: np.searchsorted(left, len(key) - apart)]
-                left = left[key[left] == key[left + apart]] if to is None or apart <= to else left[:0]
+                left = left[(key[left] == key[left + apart]) & (pair[left] == pair[left + apart])] if to is None or apart <= to else left[:0]
                 for i in range(0, len(left), PAIRS):
                     one = left[i : i + PAIRS]
                     two = one + apart
+                    wanted = side[one] != side[two] if apart <= from_ else (side[one] == 0) | (side[one] != side[two])
+                    one, two = one[wanted], two[wanted]
                     near = (root[one] != root[two]) & _may_overlap(size, at, one, two, similarity)
                     one, two = one[near], two[near]
                     if bitmaps and len(one):
                         near = _may_agree(words[one], words[two], size[one] + size[two], similarity)
                         one, two = one[near], two[near]
-                    found.append((rid[one], rid[two]))
+                    found.append((np.minimum(rid[one], rid[two]), np.maximum(rid[one], rid[two])))
                     n += len(one)
                 if found and (n >= PAIRS or not len(left)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
                     found, n = [], 0
 
-    return _sorted_lists(lists).mapInArrow(meet, "a bigint, b bigint").distinct()
+    return groups.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -421,8 +442,8 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     """doc_id, digest, root for each row of docs: rows with one root are linked, by fingerprints as in simhash_components or by similarity.
 
     Candidates are all pairs that share one of the rarest shingles of both (see rarest), which every similar pair does; each is
-    verified on whole sets of shingles. Rows of a list are compared in rounds, with the next few, then with all the rest (REACH),
-    and after each round the pairs that verified links have joined meanwhile are left out, nothing else: the components are those of all similar pairs. Rows of
+    verified on whole sets of shingles. Rows of a list are compared in rounds, with the next few, then with all the rest (REACH; long
+    lists by pairs of blocks, see candidates), and after each round the pairs that verified links have joined meanwhile are left out, nothing else: the components are those of all similar pairs. Rows of
     one text are one row of the lists. Texts without words are linked to each other by their zero fingerprint.
     """
     ws = Workspace(docs.sparkSession, "similar")
@@ -436,15 +457,17 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     several = rows.groupBy("fp", "digest").count().where("count > 1").limit(1).count()
     listed = rows.join(one, F.col("rid") == F.col("w"), "left_semi") if several else rows
     lists = ws.table(prefix_lists(listed), "lists")
+    long = ws.table(long_lists(lists), "long")
+    lists = lists.join(long, F.col("key") == F.col("long"), "left").select("key", "rid", "size", "at", F.coalesce("blocks", F.lit(1).cast("bigint")).alias("blocks"))
     bitmaps = rows.select(F.col("rid").alias("w"), "parity")
     roots, from_ = ws.table(components(links, ws), "roots"), 0
     for to in REACH:
-        open_ = lists.select(*_ROOTED[:4]).join(roots, F.col("rid") == F.col("node"), "left").select(*_ROOTED[:4], F.coalesce("root", "rid").alias("root"))
+        open_ = lists.join(roots, F.col("rid") == F.col("node"), "left").select(*lists.columns, F.coalesce("root", "rid").alias("root"))
         if from_:
-            lists = ws.table(unsettled(open_, from_), "unsettled")
-            if not lists.limit(1).count():
+            keys = ws.table(unsettled(open_, from_), "unsettled")
+            if not keys.limit(1).count():
                 break
-            open_ = lists.join(bitmaps, F.col("rid") == F.col("w")).select(*_ROOTED, "parity")
+            open_ = open_.join(keys, F.col("key") == F.col("open"), "left_semi").join(bitmaps, F.col("rid") == F.col("w")).drop("w")
         pairs = ws.table(candidates(open_, similarity, from_, to), "candidates")
         if not from_:
             pairs = ws.table(plausible(pairs, rows, similarity), "plausible")

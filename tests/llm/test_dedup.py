@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from brindle.llm import simhash
 from brindle.llm.exact_dedup import drop_copies, exact_dedup
 from brindle.llm.graph import components
 from brindle.llm.langid import filter_languages
@@ -303,7 +304,9 @@ def test_similar_pairs_at_the_threshold_lose_none(spark):
     assert {2 * i for i in range(len(pairs))} <= kept
 
 
-def test_a_family_of_near_copies_keeps_all_its_links(spark):
+@pytest.mark.parametrize("block", [512, 3])
+def test_a_family_of_near_copies_keeps_all_its_links(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rnd = random.Random(12)
     texts = []
     for _ in range(8):
