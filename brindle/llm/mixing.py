@@ -135,10 +135,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     key = F.xxhash64(F.lit(seed), F.col("sid"), F.expr("number div blocks"))
     plan = ws.table(plan.withColumn("block", permuted(F.expr("number % blocks"), F.col("blocks"), key)).select("shard", "sid", "number", "blocks", "passes", "extra", "short", "block"), "plan")
     # in the pass that is not whole, the words before a draw are those of the draws before it, of which one may be the short block
-    shorter = plan.where("number >= passes * blocks and block = blocks - 1").select("sid", F.col("number").alias("short_at"))
+    shorter = plan.groupBy("sid").agg(F.max(F.expr("if(number >= passes * blocks and block = blocks - 1, number, null)")).alias("short_at"))  # a row for each source, so that the join is there whether a short block is drawn or not
     before = F.expr(f"(number - passes * blocks) * {block_words} - if(short_at < number, short, 0L)")
     whole = F.expr(f"{block_words} - if(block = blocks - 1, short, 0L)")
-    plan = plan.join(shorter, "sid", "left").withColumn("words", F.when(F.expr("number < passes * blocks"), whole).otherwise(F.least(whole, F.col("extra") - before)))
+    plan = plan.join(shorter, "sid").withColumn("words", F.when(F.expr("number < passes * blocks"), whole).otherwise(F.least(whole, F.col("extra") - before)))
     plan = plan.where("words > 0").select("shard", "sid", "number", "block", "words", (F.col("words") == whole).alias("whole"))
 
     # blocks meet documents by index
