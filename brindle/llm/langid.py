@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.work import table
+from brindle.llm.work import bounded_batches, table
 
 DIMENSIONS = 512
 NGRAM = 3
@@ -50,7 +50,7 @@ def letters() -> np.ndarray:
     """For each code point its lower-case letter's code point, or 0 if it is no letter. Letters whose lower case is several characters keep the first."""
     global _letters
     if _letters is None:
-        _letters = np.array([ord(chr(i).lower()[0]) if unicodedata.category(chr(i))[0] == "L" else 0 for i in range(sys.maxunicode + 1)], np.int64)
+        _letters = np.fromiter((ord(chr(i).lower()[0]) if unicodedata.category(chr(i))[0] == "L" else 0 for i in range(sys.maxunicode + 1)), np.int64, sys.maxunicode + 1)
     return _letters
 
 
@@ -183,6 +183,7 @@ def train(rows: DataFrame, dimensions: int = DIMENSIONS, n: int = NGRAM, seed: i
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
+    bounded_batches(rows.sparkSession)
     parts = rows.select("text", "lang").mapInArrow(add, "lang string, v array<bigint>")
     sums = parts.select("lang", F.posexplode("v").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     if sums.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
@@ -199,6 +200,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     score is the cosine with the nearest prototype, 0 at least; of equal ones the first language by
     code point wins. Without text or letters, or without prototypes, the language is ``und`` and the score 0.
     """
+    bounded_batches(docs.sparkSession)
     names = list(prototypes)
     units = np.array([p / max(np.linalg.norm(p), 1e-300) for p in prototypes.values()]).reshape(-1, dimensions)
 

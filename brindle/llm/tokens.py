@@ -83,9 +83,9 @@ class BatchTokenizer:
     def __init__(self, path: str, end_id: int, special: bool = False):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if special else []
         self.coder = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()] if special else []
+        self.plain = self.coder.encode_special_tokens  # the library's default
         self.coder.encode_special_tokens = True
         self.end_id = end_id
         base = np.uint64(0x9E3779B97F4A7C15 | 5)
@@ -113,7 +113,12 @@ class BatchTokenizer:
         if not whole:
             return ids, counts
         parts = np.split(ids, np.cumsum(counts)[:-1])
-        for i, coded in zip(whole, self.library.encode_batch(list(whole.values()), add_special_tokens=False)):
+        self.coder.encode_special_tokens = self.plain
+        try:
+            found = self.coder.encode_batch(list(whole.values()), add_special_tokens=False)
+        finally:
+            self.coder.encode_special_tokens = True
+        for i, coded in zip(whole, found):
             parts[i] = np.array([*coded.ids, self.end_id], "<u4")
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: ASCII white space of the contracts, as a Java/RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch between the JVM and a Python worker, each of which holds several at a time.
+BATCH_BYTES, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,6 +31,12 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by BATCH_BYTES where it has no setting of its own: rows alone are no bound for whole texts and sets of shingles."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 class Workspace:
     """Tables written under one fresh folder of :func:`shared_root`.
 
@@ -40,6 +48,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        bounded_batches(spark)
 
     def path(self, name: str) -> str:
         self._n += 1
