@@ -74,6 +74,13 @@ def piece_starts(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark[:n])
 
 
+def byte_signs() -> np.ndarray:
+    """The code point that stands for each byte in a byte-level vocabulary: its own where it prints, else the next from 256."""
+    prints = np.zeros(256, bool)
+    prints[0x21:0x7F] = prints[0xA1:0xAD] = prints[0xAE:0x100] = True
+    return np.where(prints, np.arange(256), 255 + np.cumsum(~prints)).astype("<u4")
+
+
 class BatchTokenizer:
     """Ids of texts, each followed by an end id. Strings of special tokens in a text are ordinary text, or with special what the library makes of them by default."""
 
@@ -87,11 +94,31 @@ class BatchTokenizer:
         self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()] if special else []
         self.plain = self.coder.encode_special_tokens  # the library's default
         self.coder.encode_special_tokens = True
+        self.model = self._bare_model()
         self.end_id = end_id
         base = np.uint64(0x9E3779B97F4A7C15 | 5)
         self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
         self.forget()
 
+    def _bare_model(self):
+        """The library's model, where a piece reaches it as nothing but the signs of its bytes; else None."""
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        t = self.coder
+        cut = t.pre_tokenizer
+        bare = isinstance(t.model, BPE) and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        bare = bare and t.normalizer is None and t.truncation is None and t.padding is None
+        return t.model if bare and all(a.special for a in t.get_added_tokens_decoder().values()) else None
+
+    def _code(self, pieces: list[str]):
+        """Ids of each piece by the library. Its model alone is asked where that suffices: all else that it does for a text costs more than the ids of a piece."""
+        if self.model is None:
+            return (self.coder.encode(p, add_special_tokens=False).ids for p in pieces)
+        laid = np.frombuffer(b"\xff".join([p.encode() for p in pieces]), np.uint8)  # no UTF-8 has that byte
+        tokenize = self.model.tokenize
+        return ([t.id for t in tokenize(signs)] for signs in byte_signs()[laid].tobytes().decode("utf-32-le").split("\xff"))
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.first, self.count = array("I", [self.end_id]), array("q", [0]), array("q", [1])
@@ -99,8 +126,7 @@ class BatchTokenizer:
     def _learn(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 4096):
             some = pieces[i : i + 4096]
-            for piece, coded in zip(some, self.coder.encode_batch(some, add_special_tokens=False)):
-                ids = coded.ids
+            for piece, ids in zip(some, self._code(some)):
                 self.known[piece] = len(self.first)
                 self.first.append(len(self.flat))
                 self.count.append(len(ids))

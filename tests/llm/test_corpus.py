@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -222,6 +223,47 @@ def test_tokens_equal_the_library():
     assert len(ids) == len(counts) == 0
 
 
+def test_new_pieces_cost_less_than_the_librarys_whole_way():
+    """CPU time of 40,000 different words, against coding the same pieces as texts in the library's batches."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(4)
+    pieces = list({" " + "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzéßñ", k=rnd.randint(6, 14))) for _ in range(40_000)})
+    text = "".join(pieces)
+    library, own, want, got = [], [], None, None
+    for _ in range(3):
+        t = Tokenizer.from_file(TOKENIZER)
+        start = time.process_time()
+        want = [i for at in range(0, len(pieces), 4096) for e in t.encode_batch(pieces[at : at + 4096], add_special_tokens=False) for i in e.ids]
+        library.append(time.process_time() - start)
+        coder = BatchTokenizer(TOKENIZER, 2)
+        coder.encode(["all code point classes are there"])
+        start = time.process_time()
+        got = coder.encode([text])[0].tolist()
+        own.append(time.process_time() - start)
+    assert got == want + [2]
+    assert min(own) < 0.8 * min(library)
+
+
+def test_tokens_where_the_library_changes_pieces(tmp_path):
+    """A normalizer and an added token that is not special: the model alone would give other ids."""
+    from tokenizers import AddedToken, Tokenizer, normalizers
+
+    texts = ["One TWO  Straße don't", "\u00c9 x\nY", "", "a1 B2"]
+    for name in ("lower", "added"):
+        t = Tokenizer.from_file(TOKENIZER)
+        if name == "lower":
+            t.normalizer = normalizers.Lowercase()
+        else:
+            t.add_tokens([AddedToken("TWO", normalized=False)])
+        path = str(tmp_path / f"{name}.json")
+        t.save(path)
+        ids, counts = BatchTokenizer(path, 2, special=True).encode(texts)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [e.ids + [2] for e in t.encode_batch(texts, add_special_tokens=False)]
+        assert got[0] != BatchTokenizer(TOKENIZER, 2).encode(texts[:1])[0].tolist()
+
+
 def bins(patterns):
     return sum(k for _, k in patterns)
 
