@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,9 +75,58 @@ def natural(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, [c for c in left.columns if c in right.columns])
 
 
+#: Rows of one key that meet in one block of a dealt join, of either side; a task gets the pairs of about two full blocks.
+BLOCK_ROWS = 2048
+#: Tasks of a dealt join; with more pairs than these hold, tasks get longer.
+MOST_TASKS = 10_000
+
+
+def keyed(df: DataFrame, on: list[str]) -> DataFrame:
+    """Rows without a null key; NaN is a value and meets NaN."""
+    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]))
+
+
+def counted(df: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Rows of each key, as a double: products of counts may be large."""
+    return keyed(df, on).groupBy(*on).agg(F.count("*").cast("double").alias(name))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], pairs: DataFrame, left_order: tuple[str, ...] = (), right_order: tuple[str, ...] = ()) -> DataFrame:
+    """Inner join on named keys whose tasks follow the number of pairs, not the bytes read: few keys with many rows make far more than they read.
+
+    pairs has the keys that both sides have, with their rows as __l and __r; it is summed up when this is called.
+    A key of more than BLOCK_ROWS squared pairs is cut into blocks: each side is dealt by a hash of its rows into pieces of
+    about BLOCK_ROWS, and each piece meets every piece of the other side once (equal rows stay in one piece). The orders are those of rows within a key.
+    """
+    made = F.col("__l") * F.col("__r")
+    total, most = pairs.agg(F.sum(made), F.max(made)).first()
+    if (total or 0) <= BLOCK_ROWS**2:
+        return left.join(right, on)
+    left, right, keys = keyed(left, on), keyed(right, on), list(on)
+    if most > BLOCK_ROWS**2:
+        keys += ["__i", "__j"]
+        heavy = F.broadcast(pairs.where(made > BLOCK_ROWS**2).select(*on, *(F.ceil(F.col(c) / BLOCK_ROWS).alias(n) for c, n in (("__l", "__is"), ("__r", "__js")))))
+
+        def blocks(df, own, others):
+            """df with the piece of each row, once for every piece of the other side."""
+            piece = F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))
+            n = lambda c: F.coalesce(f"__{c}s", F.lit(1).cast("bigint"))
+            df = df.join(heavy, on, "left").withColumn(f"__{own}", F.pmod(piece, n(own))).withColumn(f"__{others}", F.explode(F.sequence(F.lit(0).cast("bigint"), n(others) - 1)))
+            return df.drop("__is", "__js")
+
+        left, right = blocks(left, "i", "j"), blocks(right, "j", "i")
+    tasks = min(MOST_TASKS, math.ceil(total / BLOCK_ROWS**2 / 2))
+    sides = (df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order) for df, order in ((left, left_order), (right, right_order)))  # a number that is given is kept, whatever the bytes
+    return next(sides).join(next(sides), keys).drop("__i", "__j")
+
+
 def n_way(*frames: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join of all inputs on one key."""
-    return reduce(lambda a, b: a.join(b, on), frames)
+    """Inner join of all inputs on one key. The rows of each key are counted first, so that tasks follow the rows made."""
+    joined, have = frames[0], counted(frames[0], on, "__l")
+    for df in frames[1:]:
+        pairs = have.join(counted(df, on, "__r"), on)
+        joined, have = dealt_join(joined, df, on, pairs), pairs.select(*on, (F.col("__l") * F.col("__r")).alias("__l"))
+    return joined
 
 
 #: Cells of one size that an interval is cut into at most; a wider one goes to cells eight times as wide, and so on.

@@ -62,6 +62,27 @@ def test_null_keys_meet_nothing(spark):
     assert R.join(t0, t0.withColumnRenamed("a", "b"), "k").count() == 1
 
 
+def test_n_way_tasks_follow_the_rows_made(spark):
+    """One key of 6,000 rows on either side makes 36 million: no task makes more than a block's worth or two of them."""
+    a, b = (spark.range(0, 6000, 1, 1).select(F.lit(1).alias("k"), F.col("id").alias(n)) for n in "ab")
+    made = [r["count"] for r in R.n_way(spark.createDataFrame([(1, "x"), (2, "y")], "k int, n string"), a, b, on=["k"]).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 36_000_000 and max(made) <= 20_000_000
+
+
+def test_n_way_blocks_give_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_ROWS", 4)
+    left = [(None, 0), (2, 100)] + [(1, i // 2) for i in range(30)] + [(3, i) for i in range(3)] + [(5, 7)] * 9
+    right = [(None, 0), (4, 1)] + [(1, i) for i in range(11)] + [(3, 8)] * 2 + [(5, i) for i in range(5)]
+    third = [(None, 1), (1, 6), (1, 7), (3, 9), (5, 1), (5, 1), (4, 4)]
+    want = [(k, a, b, c) for k, a in left for k2, b in right for k3, c in third if k is not None and k == k2 == k3]
+    frames = (spark.createDataFrame(x, f"k int, {n} int") for x, n in ((left, "a"), (right, "b"), (third, "c")))
+    got = R.n_way(*frames, on=["k"])
+    assert got.columns == ["k", "a", "b", "c"] and rows(got) == sorted(want, key=repr)
+    odd = spark.createDataFrame([(float("nan"), i) for i in range(12)] + [(0.0, i) for i in range(7)] + [(None, 1)], "k double, a int")
+    got = R.n_way(odd, odd.selectExpr("-k AS k", "a AS b"), on=["k"]).selectExpr("isnan(k) AS k", "a", "b")  # NaN meets NaN, 0 meets -0
+    assert rows(got) == rows(spark.createDataFrame([(n == 12, a, b) for n in (12, 7) for a in range(n) for b in range(n)], "k boolean, a int, b int"))
+
+
 def test_range_join_against_pairs(spark):
     import random
 
