@@ -91,12 +91,13 @@ def counted(df: DataFrame, on: list[str], name: str) -> DataFrame:
     return keyed(df, on).groupBy(*on).agg(F.count("*").cast("double").alias(name))
 
 
-def dealt_join(left: DataFrame, right: DataFrame, on: list[str], pairs: DataFrame, left_order: tuple[str, ...] = (), right_order: tuple[str, ...] = ()) -> DataFrame:
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], pairs: DataFrame, orders: tuple[list[str], list[str]] | None = None) -> DataFrame:
     """Inner join on named keys whose tasks follow the number of pairs, not the bytes read: few keys with many rows make far more than they read.
 
     pairs has the keys that both sides have, with their rows as __l and __r; it is summed up when this is called.
     A key of more than BLOCK_ROWS squared pairs is cut into blocks: each side is dealt by a hash of its rows into pieces of
-    about BLOCK_ROWS, and each piece meets every piece of the other side once (equal rows stay in one piece). The orders are those of rows within a key.
+    about BLOCK_ROWS, and each piece meets every piece of the other side once (equal rows stay in one piece).
+    orders: columns by which each side's rows of a key are sorted then.
     """
     made = F.col("__l") * F.col("__r")
     total, most = pairs.agg(F.sum(made), F.max(made)).first()
@@ -116,8 +117,10 @@ def dealt_join(left: DataFrame, right: DataFrame, on: list[str], pairs: DataFram
 
         left, right = blocks(left, "i", "j"), blocks(right, "j", "i")
     tasks = min(MOST_TASKS, math.ceil(total / BLOCK_ROWS**2 / 2))
-    sides = (df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order) for df, order in ((left, left_order), (right, right_order)))  # a number that is given is kept, whatever the bytes
-    return next(sides).join(next(sides), keys).drop("__i", "__j")
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)  # a number that is given is kept, whatever the bytes
+    if orders:  # a sort below a join is dropped as useless, but not from below a row number that is read
+        left, right = (df.sortWithinPartitions(*keys, *order).withColumn("__at", F.monotonically_increasing_id()).where("__at >= 0").drop("__at") for df, order in zip((left, right), orders, strict=True))
+    return left.join(right, keys).drop("__i", "__j")
 
 
 def n_way(*frames: DataFrame, on: list[str]) -> DataFrame:
@@ -137,21 +140,24 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: st
     """Rows of left with their value in [low, high) of a row of right.
 
     Both sides are cut into cells and the join is on cells, so no pair outside one cell is looked at.
-    Cells come in sizes, the smallest of the given width, each RANGE_CELLS times the one before; an
-    interval takes the smallest size of which it meets about RANGE_CELLS at most, and a value has one cell of
+    Cells come in sizes, one of the given width, each RANGE_CELLS times the one before, the smallest a part of the given width for
+    intervals no longer than that; an interval takes the smallest size of which it meets about RANGE_CELLS at most, and a value has one cell of
     each size that some interval took, so a wide interval costs no more rows than a narrow one.
+    Rows of each cell are counted first, so that tasks follow the pairs looked at. Rows of a cell come in the order of value
+    and low: neighbours have nearly the same intervals in the same order, which a compressed file keeps small.
     """
-    size = F.greatest(F.lit(0), F.ceil(F.log(float(RANGE_CELLS), (F.col(high) - F.col(low)) / F.lit(width * RANGE_CELLS)))).cast("int")
+    if kind != "inner":
+        raise TypeRefused(f"no range join of kind {kind}")
+    size = F.greatest(F.lit(-1), F.ceil(F.log(float(RANGE_CELLS), (F.col(high) - F.col(low)) / F.lit(width * RANGE_CELLS)))).cast("int")
     wide = lambda n: F.lit(float(width)) * F.pow(F.lit(float(RANGE_CELLS)), n)
     cell = lambda c, n: F.floor(c / wide(n)).cast("bigint")
     spread = right.where(F.col(low) < F.col(high)).withColumn("__size", size)
     sizes = [r[0] for r in spread.select("__size").distinct().collect()]  # a handful: the logarithm of the widest interval
     spread = spread.withColumn("__cell", F.explode(F.sequence(cell(F.col(low), F.col("__size")), cell(F.col(high), F.col("__size")))))
-    if kind != "inner":
-        raise TypeRefused(f"no range join of kind {kind}")
-    mine = left.withColumn("__size_at", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"))).withColumn("__at", cell(F.col(value), F.col("__size_at")))
-    on = (F.col("__size_at") == F.col("__size")) & (F.col("__at") == F.col("__cell")) & (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))
-    return mine.join(spread, on).drop("__size_at", "__at", "__size", "__cell")
+    mine = left.withColumn("__size", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"))).withColumn("__cell", cell(F.col(value), F.col("__size")))
+    on = ["__size", "__cell"]
+    met = dealt_join(mine, spread, on, counted(mine, on, "__l").join(counted(spread, on, "__r"), on), ([value], [low]))
+    return met.where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop(*on)
 
 
 def scalar_or_error(df: DataFrame, keys: list[str], right: DataFrame, value: str) -> DataFrame:

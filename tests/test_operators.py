@@ -94,6 +94,35 @@ def test_range_join_against_pairs(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_range_join_tasks_follow_the_pairs(spark):
+    a, b = (spark.range(0, 6000, 1, 1).select(F.col("id").alias(n), (F.col("id") / 100).alias(x)) for n, x in (("i", "v"), ("j", "a")))
+    got = R.range_join(a, b.selectExpr("j", "a - 100 AS a", "a + 100 AS b"), "v", "a", "b", 1000.0)  # every value is in every interval
+    made = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 36_000_000 and max(made) <= 20_000_000
+
+
+def test_range_join_result_is_small_on_disk(spark, tmp_path):
+    """Neighbours in a file have nearly the same intervals: much less than a byte a row."""
+    a = spark.range(0, 16000, 1, 1).selectExpr("id AS i", "CAST(id * 7919 % 16000 AS double) AS v")
+    b = spark.range(0, 16000, 1, 1).selectExpr("id AS j", "CAST(id * 6007 % 16000 AS double) AS a").selectExpr("*", "a + 500 AS b")
+    R.range_join(a, b, "v", "a", "b", 1000.0).select("i", "j").write.parquet(str(tmp_path / "out"))
+    n = spark.read.parquet(str(tmp_path / "out")).count()
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert n == sum(min(v + 1, 500) for v in range(16000)) and size < 0.5 * n
+
+
+def test_range_join_blocks_and_small_intervals_against_pairs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(R, "BLOCK_ROWS", 4)
+    rnd = random.Random(6)
+    pts = [(i, rnd.choice([3.0, rnd.uniform(-50, 50)])) for i in range(150)] + [(998, float("nan")), (999, None)]
+    iv = [(j, x, x + rnd.choice([-1, 0, 1e-9, 0.5, 6.9, 7, 7.1, 90])) for j in range(80) for x in [rnd.choice([3.0, rnd.uniform(-60, 60)])]] + [(97, None, 1.0), (98, 1.0, None)]
+    want = [(i, j) for i, v in pts for j, a, b in iv if None not in (v, a, b) and a <= v < b]
+    got = R.range_join(spark.createDataFrame(pts, "i int, v double"), spark.createDataFrame(iv, "j int, a double, b double"), "v", "a", "b", 7.0)
+    assert got.columns == ["i", "v", "j", "a", "b"] and rows(got.select("i", "j")) == sorted(want, key=repr)
+
+
 def test_sets_treat_nulls_as_equal(spark):
     a, b = spark.createDataFrame([(None,), (None,), (2,)], "x int"), spark.createDataFrame([(None,), (1,)], "x int")
     assert rows(R.except_distinct(a, b)) == [(2,)]
